@@ -1,0 +1,3 @@
+"""Queries of the corpus-quality operators, by name."""
+
+QUERIES = {}
