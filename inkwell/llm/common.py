@@ -111,12 +111,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, at
 
 
-def passes(offsets: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about limit bytes each."""
+def passes(offsets: np.ndarray, limit: int = PASS_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of about limit bytes and at most so many rows each."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, max(hi, lo + 1), lo + rows)
         yield lo, hi
         lo = hi
 

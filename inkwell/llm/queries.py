@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, sentencepiece_codec, token_counts
+from . import language_id, quality, secrets, sentencepiece_codec, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_classifier": quality.query,
+    "op6_language_id": language_id.query,
     "op7_secret_scan": secrets.query,
     "op9_sentencepiece": sentencepiece_codec.query,
     "op10_token_counts": token_counts.query,
