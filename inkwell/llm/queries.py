@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language_id, quality, secrets, sentencepiece_codec, token_counts
+from . import decontaminate, html_extract, language_id, quality, secrets, sentencepiece_codec, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": html_extract.query,
+    "op2_decontaminate": decontaminate.query,
     "op4_quality_classifier": quality.query,
     "op6_language_id": language_id.query,
     "op7_secret_scan": secrets.query,
