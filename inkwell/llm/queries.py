@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, quality, secrets, sentencepiece_codec, token_counts
+from . import decontaminate, html_extract, jaccard_join, language_id, quality, secrets, sentencepiece_codec, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": html_extract.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": quality.query,
     "op6_language_id": language_id.query,
     "op7_secret_scan": secrets.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op9_sentencepiece": sentencepiece_codec.query,
     "op10_token_counts": token_counts.query,
 }
