@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, jaccard_join, language_id, neighbours, quality, secrets, sentencepiece_codec, token_counts
+from . import decontaminate, html_extract, jaccard_join, language_id, neighbours, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": html_extract.query,
     "op2_decontaminate": decontaminate.query,
     "op3_neighbours": neighbours.query,
     "op4_quality_classifier": quality.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_language_id": language_id.query,
     "op7_secret_scan": secrets.query,
     "op8_jaccard_join": jaccard_join.query,
