@@ -45,11 +45,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark's own setting: shuffle files of a finished SQL execution are removed at once, not when garbage is collected.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write to the shared folder and read back: lineage ends, and a lost executor costs nothing."""
+    """Write to the shared folder and read back: lineage ends, and a lost executor costs nothing.
+
+    The finished step's shuffle files are removed, as nothing refers to them any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -172,8 +172,27 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that overlap no item, all columns kept; rows with a null doc_id stay."""
-    return docs.join(overlaps(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that overlap no item, all columns kept: one narrow pass for each block of items."""
+    for seeds in blocks(items):
+        docs = _without(docs, seeds)
+    return docs
+
+
+def _without(docs: DataFrame, seeds: Seeds) -> DataFrame:
+    ids, tokens = seeds.ids, seeds.tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Seeds(ids, tokens)
+        for batch in batches:
+            data, at = common.buffers(batch.column("text"))
+            keep = np.ones(len(batch), bool)
+            for lo, hi in common.passes(at):
+                h, _, first = common.words(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], common.PUNCT)
+                for o, *_ in own.verified(h, first):
+                    keep[lo + o] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

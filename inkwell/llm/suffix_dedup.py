@@ -157,11 +157,12 @@ def _find(keyed: DataFrame, buckets: int) -> DataFrame:
 
     def send(held: list) -> Iterator[pa.RecordBatch]:
         doc, mark, place, h, left, right = (np.concatenate(c) for c in zip(*held, strict=True))
-        # anchors shared within these texts need no answer; one of each kind, the smallest doc's, goes on for the others
+        # anchors shared within these texts need no answer; of each kind, those of the smallest doc go on for the others
         known = shared_anchors(doc, h, left, right)
-        order, group = _group(doc, right, left, h)
-        key, _ = _first(h[order], left[order], right[order])
-        go = order[key]
+        order = np.lexsort((doc, right, left, h))
+        key = _first(h[order], left[order], right[order])
+        lead = np.repeat(order[key], np.diff(np.append(key, len(order))))
+        go = order[doc[order] == doc[lead]]
         yield _answer(doc[known], mark[known], place[known])
         doc, mark, place, h, left, right = (c[go] for c in (doc, mark, place, h, left, right))
         bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
@@ -216,21 +217,21 @@ def _find(keyed: DataFrame, buckets: int) -> DataFrame:
     return sent.withColumn("to", spread).repartition(buckets, "to").drop("to").mapInArrow(match, _BACK)
 
 
-def _first(*keys: np.ndarray) -> tuple[np.ndarray, None]:
+def _first(*keys: np.ndarray) -> np.ndarray:
     """Places where any of the sorted keys changes."""
     new = np.ones(len(keys[0]), bool)
     if len(new):
         new[1:] = False
         for k in keys:
             new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new), None
+    return np.flatnonzero(new)
 
 
 def _by_doc(doc: np.ndarray, mark: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
     """doc, mark and each value packed per document."""
     order = np.lexsort((mark, doc))
     doc, mark = doc[order], mark[order]
-    begin, _ = _first(doc, mark)
+    begin = _first(doc, mark)
     ends = np.append(begin, len(doc))
     packed = []
     for v in values:
