@@ -2,10 +2,10 @@
 
 Method: low-dimensional stable projections indexed by a kd-tree. One more component turns the
 largest inner product into the smallest Euclidean distance; DIMENSIONS Gaussian (2-stable)
-projections of it are indexed by a kd-tree. A query looks at projected neighbours in order of
-distance - first its own leaf, then the other leaves by their cells' distances - and verifies them
-on the original vectors, until a chi-square test holds: a vector closer than the K-th found would
-have a projection within the distance looked at so far with probability CONFIDENCE.
+projections of it are indexed by a kd-tree. A query looks at projected neighbours step by step -
+first its own leaf, then of the other leaves what a chi-square test leaves over - and verifies them
+on the original vectors. The test holds at a projected distance within which a vector closer than
+the K-th found would have its projection with probability CONFIDENCE; nothing beyond is looked at.
 
 The tree's splits are fitted on a bounded sample (SAMPLE vectors, by hash); every vector is indexed.
 Equal vectors are one entry of the index, which keeps the smallest ids that a result can need; so
@@ -41,8 +41,6 @@ LEAVES = 4096
 BLOCK = 16_384
 #: Queries searched together in one block of a leaf.
 TOGETHER = 4096
-#: Projected neighbours verified between two tests.
-STEP = 512
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -173,33 +171,28 @@ def stop_radius(tree: Tree, q: np.ndarray, score: np.ndarray, quantile: float) -
 
 
 def search_leaf(tree: Tree, q: np.ndarray, known: np.ndarray, v: np.ndarray, smallest: np.ndarray, copies: np.ndarray, quantile: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per query: (entries, scores) of up to K + 1 best entries of this block, verified in order of projected distance.
+    """Per query: (entries, scores) of up to K + 1 best entries of this block.
 
-    known: the K-th score that the query has already (minus infinity if none). Entries with a lower
-    score are left out.
+    known: the K-th score that the query has already (minus infinity if none). Verified are the
+    entries with a projection within the distance that the test asks for at that score; kept are
+    those that reach it.
     """
-    far = np.square(tree.project_queries(q)[:, None, :] - tree.project(v)[None, :, :]).sum(2) if len(q) * len(v) < 100_000 else _squares(tree.project_queries(q), tree.project(v))
+    far = _squares(tree.project_queries(q), tree.project(v))
+    near = far <= stop_radius(tree, q, known, quantile)[:, None] * (1 + 1e-9)
+    score = q @ v.T
+    slack = 1e-9 * tree.radius * np.sqrt((q * q).sum(1))
+    score[~near] = -np.inf
+    count = min(K + 1, len(v))
+    top = np.partition(score, len(v) - count, axis=1)[:, len(v) - count]
+    floor = np.maximum(np.where(np.isfinite(top), top, -np.inf), known) - slack
     for i in range(len(q)):
-        order = np.argsort(far[i], kind="stable")
-        bound = known[i]
-        limit = stop_radius(tree, q[i : i + 1], np.array([bound]), quantile)[0]
-        scores, at = np.empty(0), np.empty(0, np.int64)
-        for lo in range(0, len(order), STEP):
-            part = order[lo : lo + STEP]
-            if far[i, part[0]] > limit:
-                break
-            part = part[far[i, part] <= limit]
-            scores = np.concatenate([scores, (v[part] * q[i]).sum(1)])
-            at = np.concatenate([at, part])
-            rank = np.lexsort((smallest[at], -scores))
-            enough = int(np.searchsorted(np.cumsum(copies[at[rank]]), K + 1)) + 1
-            rank = rank[: min(K + 1, enough)]
-            scores, at = scores[rank], at[rank]
-            if copies[at].sum() > K:
-                bound = max(bound, scores[-1])
-                limit = min(limit, stop_radius(tree, q[i : i + 1], np.array([bound]), quantile)[0])
-        keep = scores >= bound
-        yield at[keep], scores[keep]
+        at = np.flatnonzero(near[i] & (score[i] >= floor[i]))
+        exact = (v[at] * q[i]).sum(1)
+        rank = np.lexsort((smallest[at], -exact))
+        enough = int(np.searchsorted(np.cumsum(copies[at[rank]]), K + 1)) + 1
+        rank = rank[: min(K + 1, enough)]
+        rank = rank[exact[rank] >= known[i]]
+        yield at[rank], exact[rank]
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
