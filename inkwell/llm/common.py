@@ -23,8 +23,14 @@ ROOT = str(Path(__file__).resolve().parents[2])
 PASS_BYTES = 1 << 20
 
 
+#: Rows and bytes of one Arrow batch, so that a worker's memory doesn't depend on how long texts are.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, also where the caller's path isn't theirs."""
+    """Let Python workers import this package, also where the caller's path isn't theirs, and bound the batches they get."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)

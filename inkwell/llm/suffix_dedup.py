@@ -43,22 +43,26 @@ GRAM = 20
 PLACES = LENGTH - GRAM + 1
 #: Bytes on either side of an anchor's gram, of which every string around it has one side whole.
 SIDE = (LENGTH - GRAM) // 2
-FLUSH = 1_000_000
-#: Anchors and surroundings that a bucket should hold; the number of buckets grows with the corpus.
-BUCKET_BYTES = 16 << 20
+FLUSH = 500_000
+#: Bytes of text whose anchors are found together; about a processor's cache.
+PASS = 1 << 17
+#: Bytes of text per bucket of anchors and per bucket of surroundings; the numbers of buckets grow with the corpus.
+ANCHOR_BYTES = 16 << 20
+AROUND_BYTES = 5 << 20
 
 _VALUE = common._constants(99, 256)
 
 
-def gram_hashes(x: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k bytes; empty if there are fewer."""
-    n = len(x)
-    if n < k:
-        return np.empty(0, np.uint64)
-    power, inverse = common.powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[x] * power, out=total[1:])
-    return common.mix((total[k:] - total[:-k]) * inverse[: n - k + 1])
+def running(x: np.ndarray) -> np.ndarray:
+    """Sums of the bytes' values at their places, from which every substring's hash follows."""
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_VALUE[x] * common.powers(len(x))[0], out=total[1:])
+    return total
+
+
+def hash_at(total: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """Hash of k bytes at each start."""
+    return common.mix((total[start + k] - total[start]) * common.powers(len(total))[1][start])
 
 
 def sliding(f, x: np.ndarray, width: int) -> np.ndarray:
@@ -70,58 +74,65 @@ def sliding(f, x: np.ndarray, width: int) -> np.ndarray:
     return f(x[: len(x) - (width - m)], x[width - m :]) if width > m else x
 
 
-def anchors(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place (in x), text and hash of the anchors of texts that stand one after the other."""
+def anchors(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Place (in x), text, hash and the two sides' bytes of hash of the anchors of texts that stand one after the other.
+
+    A side's byte is 0 where the text has fewer than SIDE bytes.
+    """
     n = len(x)
     if n < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    whole = text[: n - LENGTH + 1] == text[LENGTH - 1 :]
-    h = gram_hashes(x, GRAM)
-    least = np.where(whole, sliding(np.minimum, h, PLACES), np.uint64(0))
+        none = np.empty(0, np.int64)
+        return none, none, np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.uint8)
+    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    outside = text[: n - LENGTH + 1] != text[LENGTH - 1 :]
+    total = running(x)
+    h = total[GRAM:] - total[:-GRAM]
+    h *= common.powers(n)[1][: n - GRAM + 1]
+    h = common.mix(h)
+    least = sliding(np.minimum, h, PLACES)
+    least[outside] = 0
     edge = np.zeros(PLACES - 1, np.uint64)
     at = np.flatnonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), PLACES) == h)
-    return at, text[at], h[at]
-
+    own = text[at]
+    sides = []
+    for start in (at - SIDE, at + GRAM):
+        fits = (start >= offsets[own]) & (start + SIDE <= offsets[own + 1])
+        side = (hash_at(total, np.clip(start, 0, n - SIDE), SIDE) >> np.uint64(56)).astype(np.uint8) | np.uint8(1)
+        sides.append(np.where(fits, side, np.uint8(0)))
+    return at, own, h[at], sides[0], sides[1]
 
-def side_hash(x: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, before: bool) -> np.ndarray:
-    """One byte of hash of the SIDE bytes beside each gram; 0 where the text has fewer."""
-    start = at - SIDE if before else at + GRAM
-    fits = (start >= lo) & (start + SIDE <= hi)
-    h = gram_hashes(x, SIDE)
-    return np.where(fits, (h[np.clip(start, 0, max(0, len(h) - 1))] >> np.uint64(56)) | np.uint64(1), 0).astype(np.uint8)
 
+def joined(h: np.ndarray, *small: np.ndarray) -> np.ndarray:
+    """One key from a hash and bytes."""
+    for k, s in enumerate(small):
+        h = h + s.astype(np.uint64) * common._PLACE[k + 8]
+    return h
 
-def _group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts by keys (the last first), and the number of each sorted row's group."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
-    for key in keys:
-        k = key[order]
-        new[1:] |= k[1:] != k[:-1]
-    return order, np.cumsum(new)
 
-
-def several(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Whether each row's group by keys has more than one doc."""
+def ends_of(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest doc among the rows with each row's key."""
     if not len(doc):
-        return np.empty(0, bool)
-    order, group = _group(*keys)
-    at = np.flatnonzero(np.diff(group, prepend=-1))
+        return doc, doc
+    order = np.argsort(key)
+    sorted_ = key[order]
+    at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    sizes = np.diff(np.append(at, len(order)))
     d = doc[order]
-    mixed = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-    out = np.empty(len(doc), bool)
-    out[order] = mixed[group]
-    return out
+    low, high = np.empty_like(doc), np.empty_like(doc)
+    low[order] = np.repeat(np.minimum.reduceat(d, at), sizes)
+    high[order] = np.repeat(np.maximum.reduceat(d, at), sizes)
+    return low, high
 
 
 def shared_anchors(doc: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Anchors that another document has with an equal left or right side."""
-    return (several(doc, left, h) & (left > 0)) | (several(doc, right, h) & (right > 0))
-
-
-_SENT = "bucket int, doc long, mark long, part binary"
-_BACK = "doc long, mark long, places binary"
+    out = np.zeros(len(doc), bool)
+    low, high = ends_of(doc, h)
+    some = np.flatnonzero(low != high)
+    for side in (left, right):
+        low, high = ends_of(doc[some], joined(h[some], side[some]))
+        out[some] |= (low != high) & (side[some] > 0)
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -143,11 +154,10 @@ def _find(keyed: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             x, at = common.buffers(batch.column("text"))
             doc, mark = np.asarray(batch.column("doc")), np.asarray(batch.column("mark"))
-            for lo, hi in common.passes(at):
-                part, begin = x[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                place, text, h = anchors(part, begin)
-                ends = begin[text], begin[text + 1]
-                held.append((doc[lo + text], mark[lo + text], (place - begin[text]).astype(np.uint32), h, side_hash(part, place, *ends, True), side_hash(part, place, *ends, False)))
+            for lo, hi in common.passes(at, PASS):
+                begin = at[lo : hi + 1] - at[lo]
+                place, text, *hashes = anchors(x[at[lo] : at[hi]], begin)
+                held.append((doc[lo + text], mark[lo + text], (place - begin[text]).astype(np.uint32), *hashes))
                 size += len(place)
                 if size >= FLUSH:
                     yield from send(held)
@@ -159,18 +169,15 @@ def _find(keyed: DataFrame, buckets: int) -> DataFrame:
         doc, mark, place, h, left, right = (np.concatenate(c) for c in zip(*held, strict=True))
         # anchors shared within these texts need no answer; of each kind, those of the smallest doc go on for the others
         known = shared_anchors(doc, h, left, right)
-        order = np.lexsort((doc, right, left, h))
-        key = _first(h[order], left[order], right[order])
-        lead = np.repeat(order[key], np.diff(np.append(key, len(order))))
-        go = order[doc[order] == doc[lead]]
-        yield _answer(doc[known], mark[known], place[known])
+        go = np.flatnonzero(doc == ends_of(doc, joined(h, left, right))[0])
+        answers = dealt(buckets, doc[known], mark[known], place[known])
         doc, mark, place, h, left, right = (c[go] for c in (doc, mark, place, h, left, right))
-        bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((place, mark, doc, bucket))
+        bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
         doc, mark, place, h, left, right, bucket = (c[order] for c in (doc, mark, place, h, left, right, bucket))
+        bounds = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = []
-        for b in range(buckets):
-            lo, hi = np.searchsorted(bucket, [b, b + 1])
+        for b, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if hi > lo:
                 own = slice(lo, hi)
                 change = np.flatnonzero(np.concatenate([[True], (doc[own][1:] != doc[own][:-1]) | (mark[own][1:] != mark[own][:-1])]))
@@ -178,26 +185,18 @@ def _find(keyed: DataFrame, buckets: int) -> DataFrame:
                 short = h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 low, high = (place[own] & 0xFFFF).astype(np.uint16), (place[own] >> 16).astype(np.uint16)
                 rows.append((b, doc[own][change].tobytes(), mark[own][change].tobytes(), counts.tobytes(), _blob([short]), low.tobytes(), high.tobytes(), left[own].tobytes(), right[own].tobytes()))
-        columns = list(zip(*rows, strict=True))
-        empty = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary())
-        yield pa.RecordBatch.from_arrays([*empty, pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
-
-    def _answer(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        rows = _by_doc(doc, mark, place)
-        n = len(rows[0])
-        return pa.RecordBatch.from_arrays([*rows, pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(8))], names=names)
+        yield table_of(names, rows, answers)
 
-    names = ["doc", "mark", "places", "bucket", "docs", "marks", "counts", "short", "low", "high", "left", "right"]
-    binary = ", ".join(f"{c} binary" for c in names[4:])
-    # a task's own answers and what it asks others
-    sent = keyed.mapInArrow(scan, f"doc long, mark long, places binary, bucket int, {binary}")
+    # what a task asks others, by the anchor's bucket, and its own answers (the last column), by the document's
+    names = ["bucket", "docs", "marks", "counts", "short", "low", "high", "left", "right", "answer"]
+    sent = keyed.mapInArrow(scan, f"bucket int, {', '.join(f'{c} binary' for c in names[1:])}")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["bucket"] is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([row[c]], t) for c, t in (("doc", pa.int64()), ("mark", pa.int64()), ("places", pa.binary()))], names=["doc", "mark", "places"])
+                if row["answer"] is not None:
+                    yield table_of(["bucket", "answer"], [], [(row["bucket"], row["answer"])])
                     continue
                 counts = np.frombuffer(row["counts"], np.uint32)
                 wide = np.zeros((int(counts.sum()), 8), np.uint8)
@@ -211,10 +210,9 @@ def _find(keyed: DataFrame, buckets: int) -> DataFrame:
             doc, mark, place, h, left, right = (np.concatenate(c) for c in zip(*parts, strict=True))
             parts.clear()
             yes = shared_anchors(doc, h, left, right)
-            yield pa.RecordBatch.from_arrays(_by_doc(doc[yes], mark[yes], place[yes]), names=["doc", "mark", "places"])
+            yield table_of(["bucket", "answer"], [], dealt(buckets, doc[yes], mark[yes], place[yes]))
 
-    spread = F.coalesce("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
-    return sent.withColumn("to", spread).repartition(buckets, "to").drop("to").mapInArrow(match, _BACK)
+    return gathered(sent.repartition(buckets, "bucket").mapInArrow(match, "bucket int, answer binary"), buckets, False)
 
 
 def _first(*keys: np.ndarray) -> np.ndarray:
@@ -227,17 +225,53 @@ def _first(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _by_doc(doc: np.ndarray, mark: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
-    """doc, mark and each value packed per document."""
-    order = np.lexsort((mark, doc))
-    doc, mark = doc[order], mark[order]
-    begin = _first(doc, mark)
-    ends = np.append(begin, len(doc))
-    packed = []
-    for v in values:
-        v = v[order]
-        packed.append(pa.array([v[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
-    return [pa.array(doc[begin]), pa.array(mark[begin]), *packed]
+def table_of(names: list[str], rows: list[tuple], answers: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """rows fill all columns but the last, answers the first and the last."""
+    columns = list(zip(*rows, strict=True)) if rows else [()] * (len(names) - 1)
+    blank = [None] * len(answers)
+    arrays = [pa.array([*columns[0], *(a[0] for a in answers)], pa.int32())]
+    arrays += [pa.array([*c, *blank], pa.binary()) for c in columns[1:]]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array([*([None] * len(rows)), *(a[1] for a in answers)], pa.binary())], names=names)
+
+
+def dealt(buckets: int, doc: np.ndarray, mark: np.ndarray, place: np.ndarray, mask: np.ndarray | None = None) -> list[tuple[int, bytes]]:
+    """Answers in as many packets as there are buckets of documents, so their number doesn't grow with the documents'."""
+    mask = np.zeros(len(doc), np.uint32) if mask is None else mask
+    to = (common.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    bounds = np.searchsorted(to[order], np.arange(buckets + 1))
+    out = []
+    for b, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if hi > lo:
+            own = order[lo:hi]
+            out.append((b, _blob([doc[own], mark[own], place[own], mask[own]])))
+    return out
+
+
+def gathered(answers: DataFrame, buckets: int, masked: bool) -> DataFrame:
+    """doc, mark, places and (if masked) masks: one row per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for raw in batch.column("answer").to_pylist():
+                n = len(raw) // 24
+                parts.append((np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.uint32, n, 16 * n), np.frombuffer(raw, np.uint32, n, 20 * n)))
+        if parts:
+            doc, mark, place, mask = (np.concatenate(c) for c in zip(*parts, strict=True))
+            parts.clear()
+            order = np.lexsort((mark, doc))
+            doc, mark, place, mask = doc[order], mark[order], place[order], mask[order]
+            begin = _first(doc, mark)
+            ends = np.append(begin, len(doc))
+            for lo in range(0, len(begin), 5000):
+                some = list(zip(ends[lo : lo + 5000], ends[lo + 1 : lo + 5001], strict=False))
+                arrays = [pa.array(doc[begin[lo : lo + 5000]]), pa.array(mark[begin[lo : lo + 5000]])]
+                arrays += [pa.array([v[a:b].tobytes() for a, b in some], pa.binary()) for v in ((place, mask) if masked else (place,))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "mark", "places", "masks"][: len(arrays)])
+
+    schema = "doc long, mark long, places binary" + ", masks binary" * masked
+    return answers.repartition(buckets, "bucket").mapInArrow(run, schema)
 
 
 def valid_places(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -250,48 +284,63 @@ def valid_places(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return (ok << o).sum(1).astype(np.uint32)
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """Hash of each row of bytes."""
+    wide = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8)))).view(np.uint64)
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(wide.shape[1]):
+        h += common.mix(wide[:, k]) * common._PLACE[k]
+    return common.mix(h)
+
+
+def classes(strings: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each row among the distinct rows, and each distinct row's common prefix with the one before it.
+
+    Equal rows are sorted once: rows of one hash that are compared and found equal to the first.
+    """
+    _, first, of = np.unique(row_hashes(strings), return_index=True, return_inverse=True)
+    if (strings != strings[first[of]]).any():  # a collision
+        first, of = np.arange(len(strings)), np.arange(len(strings))
+    order, shared = deep_shallow(strings[first], shallow)
+    new = shared < strings.shape[1]
+    new[:1] = True
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank[of], shared[new]
+
+
 def removed_places(doc: np.ndarray, before: np.ndarray, after: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Bit o of each row: whether the string o bytes before its anchor is also in a smaller doc of these rows.
 
     around: PLACES - 1 bytes before the anchor, backwards, then LENGTH bytes from it; zeros beyond the text.
     """
-    n = len(doc)
-    out = np.zeros(n, np.uint32)
-    if not n:
+    out = np.zeros(len(doc), np.uint32)
+    low, high = ends_of(doc, row_hashes(around[:, PLACES - 1 : PLACES - 1 + GRAM]))
+    rows = np.flatnonzero(low != high)
+    if not len(rows):
         return out
+    doc, before, after, around = doc[rows], before[rows], after[rows], around[rows]
     back, ahead = around[:, : PLACES - 1], around[:, PLACES - 1 :]
-    order, shared = deep_shallow(ahead)
-    group = np.empty(n, np.int64)
-    group[order] = np.cumsum(shared < GRAM)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    named = np.concatenate([group.astype(">u8").view(np.uint8).reshape(n, 8), back], 1)
-    order2, shared2 = deep_shallow(named, 16)
+    right, shared = classes(ahead, 24)
+    group = np.cumsum(shared < GRAM)[right]
+    named = np.concatenate([group.astype(">u8").view(np.uint8).reshape(-1, 8), back], 1)
+    left, shared2 = classes(named, 16)
     valid = valid_places(before, after)
+    made = np.zeros(len(doc), np.uint32)
     for o in range(PLACES):
-        rows = np.flatnonzero(valid >> np.uint32(o) & 1)
-        if len(rows) < 2:
-            continue
-        right = np.empty(n, np.int64)
-        right[order] = np.cumsum(shared < LENGTH - o)
-        left = np.empty(n, np.int64)
-        left[order2] = np.cumsum(shared2 < 8 + o)
-        key = right[rows] * (n + 1) + left[rows]
-        by = np.argsort(key, kind="stable")
-        at = np.flatnonzero(np.diff(key[by], prepend=-1))
-        low = np.repeat(np.minimum.reduceat(doc[rows][by], at), np.diff(np.append(at, len(by))))
-        late = rows[by][doc[rows][by] > low]
-        out[late] |= np.uint32(1 << o)
+        some = np.flatnonzero(valid >> np.uint32(o) & 1)
+        if len(some):
+            key = np.cumsum(shared < LENGTH - o)[right[some]] * (len(shared2) + 1) + np.cumsum(shared2 < 8 + o)[left[some]]
+            made[some[doc[some] > ends_of(doc[some], key)[0]]] |= np.uint32(1 << o)
+    out[rows] = made
     return out
 
 
 def _sort(keyed: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     """doc, mark, places and masks: the removed strings around anchors."""
-    asked = found.groupBy("doc", "mark").agg(F.collect_list("places").alias("places"))
-    rows = keyed.join(asked, ["doc", "mark"])
+    rows = keyed.join(found, ["doc", "mark"])
     width = PLACES - 1 + LENGTH
-    names = ["doc", "mark", "places", "masks", "bucket", "docs", "marks", "at", "before", "after", "around"]
-    schema = "doc long, mark long, places binary, masks binary, bucket int, docs binary, marks binary, at binary, before binary, after binary, around binary"
+    names = ["bucket", "docs", "marks", "at", "before", "after", "around", "answer"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -301,24 +350,27 @@ def _sort(keyed: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
             doc, mark = np.asarray(batch.column("doc")), np.asarray(batch.column("mark"))
             for i, places in enumerate(batch.column("places").to_pylist()):
                 own = x[at[i] : at[i + 1]]
-                place = np.unique(np.frombuffer(b"".join(places), np.uint32)).astype(np.int64)
+                place = np.unique(np.frombuffer(places, np.uint32)).astype(np.int64)
                 padded = np.concatenate([np.zeros(PLACES - 1, np.uint8), own, np.zeros(LENGTH, np.uint8)])
                 view = np.lib.stride_tricks.sliding_window_view(padded, width)[place]
                 around = np.concatenate([view[:, PLACES - 2 :: -1], view[:, PLACES - 1 :]], 1)
                 held.append((np.full(len(place), doc[i]), np.full(len(place), mark[i]), place.astype(np.uint32), np.minimum(place, PLACES - 1).astype(np.uint8), np.minimum(len(own) - place, LENGTH).astype(np.uint8), around))
                 size += len(place)
-                if size >= FLUSH // 5:
+                if size >= FLUSH // 3:
                     yield from send(held)
                     held, size = [], 0
         if size:
             yield from send(held)
 
     def send(held: list) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
         doc, mark, place, before, after, around = (np.concatenate(c) for c in zip(*held, strict=True))
         # equal surroundings: only the smallest doc's go on; the others are settled
         same = np.concatenate([around, before[:, None], after[:, None]], 1)
         same = np.ascontiguousarray(np.pad(same, ((0, 0), (0, -same.shape[1] % 8)))).view(np.uint64)
-        key = common.mix((common.mix(same) * common._PLACE[: same.shape[1]]).sum(1, dtype=np.uint64))
+        key = row_hashes(same.view(np.uint8))
         order = np.lexsort((doc, key))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (same[order][1:] != same[order][:-1]).any(1)
@@ -327,10 +379,8 @@ def _sort(keyed: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
         go = order[doc[order] == doc[lead]]
         mask = valid_places(before[settled], after[settled])
         some = mask > 0
-        local = _by_doc(doc[settled][some], mark[settled][some], place[settled][some], mask[some])
-        yield pa.RecordBatch.from_arrays([*local, pa.nulls(len(local[0]), pa.int32()), *(pa.nulls(len(local[0]), pa.binary()) for _ in names[5:])], names=names)
-        gram = np.ascontiguousarray(np.pad(around[go, PLACES - 1 : PLACES - 1 + GRAM], ((0, 0), (0, -GRAM % 8)))).view(np.uint64)
-        h = common.mix((common.mix(gram) * common._PLACE[: gram.shape[1]]).sum(1, dtype=np.uint64))
+        answers = dealt(buckets, doc[settled][some], mark[settled][some], place[settled][some], mask[some])
+        h = row_hashes(around[go, PLACES - 1 : PLACES - 1 + GRAM])
         bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         go = go[np.argsort(bucket, kind="stable")]
         ends = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
@@ -338,42 +388,39 @@ def _sort(keyed: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
         for b in range(buckets):
             own = go[ends[b] : ends[b + 1]]
             if len(own):
-                rows.append((b, *(c[own].tobytes() for c in (doc, mark, place, before, after)), _blob([around[own]])))
-        columns = list(zip(*rows, strict=True))
-        n = len(rows)
-        empty = pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())
-        yield pa.RecordBatch.from_arrays([*empty, pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+                rows.append((b, *(c[own].tobytes() for c in (doc, mark, place, before, after)), pack.compress(_blob([around[own]]))))
+        yield table_of(names, rows, answers)
 
-    sent = rows.mapInArrow(scan, schema)
+    sent = rows.mapInArrow(scan, f"bucket int, {', '.join(f'{c} binary' for c in names[1:])}")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         parts = []
-        out = ["doc", "mark", "places", "masks"]
         for batch in batches:
             for row in batch.to_pylist():
-                if row["bucket"] is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([row[c]], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=out)
+                if row["answer"] is not None:
+                    yield table_of(["bucket", "answer"], [], [(row["bucket"], row["answer"])])
                     continue
-                kinds = (("docs", np.int64), ("marks", np.int64), ("at", np.uint32), ("before", np.uint8), ("after", np.uint8), ("around", np.uint8))
-                parts.append([np.frombuffer(row[c], t) for c, t in kinds])
+                kinds = (("docs", np.int64), ("marks", np.int64), ("at", np.uint32), ("before", np.uint8), ("after", np.uint8))
+                around = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["around"]), np.uint8)
+                parts.append([*(np.frombuffer(row[c], t) for c, t in kinds), around])
         if parts:
             doc, mark, place, before, after, around = (np.concatenate(c) for c in zip(*parts, strict=True))
             parts.clear()
             mask = removed_places(doc, before.astype(np.int64), after.astype(np.int64), around.reshape(len(doc), width))
             some = mask > 0
-            yield pa.RecordBatch.from_arrays(_by_doc(doc[some], mark[some], place[some], mask[some]), names=out)
+            yield table_of(["bucket", "answer"], [], dealt(buckets, doc[some], mark[some], place[some], mask[some]))
 
-    spread = F.coalesce("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
-    return sent.withColumn("to", spread).repartition(buckets, "to").drop("to").mapInArrow(sort, "doc long, mark long, places binary, masks binary")
+    return gathered(sent.repartition(buckets, "bucket").mapInArrow(sort, "bucket int, answer binary"), buckets, True)
 
 
 def covered(n: int, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Which of n bytes are removed."""
-    change = np.zeros(n + 1, np.int64)
-    for o in range(PLACES):
-        start = places[(masks >> np.uint32(o) & 1).astype(bool)].astype(np.int64) - o
-        np.add.at(change, start, 1)
-        np.add.at(change, start + LENGTH, -1)
+    bits = np.unpackbits(np.ascontiguousarray(masks, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    row, o = np.nonzero(bits)
+    start = places[row].astype(np.int64) - o
+    change = np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
     return np.cumsum(change)[:n] > 0
 
 
@@ -382,10 +429,9 @@ def remove(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = _keyed(docs)
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // BUCKET_BYTES))
-    found = common.cut(_find(keyed, buckets), "shared-anchors")
-    masks = common.cut(_sort(keyed, found, buckets), "masks")
-    per_doc = masks.groupBy("doc", "mark").agg(F.collect_list("places").alias("places"), F.collect_list("masks").alias("masks"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    found = common.cut(_find(keyed, max(least, -(-size // ANCHOR_BYTES))), "shared-anchors")
+    masks = common.cut(_sort(keyed, found, max(least, -(-size // AROUND_BYTES))), "masks")
     rows = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -400,14 +446,14 @@ def remove(docs: DataFrame) -> DataFrame:
                     spans.append(0)
                     kept.append(own.tobytes())
                     continue
-                away = covered(len(own), np.frombuffer(b"".join(places), np.uint32), np.frombuffer(b"".join(masks), np.uint32))
+                away = covered(len(own), np.frombuffer(places, np.uint32), np.frombuffer(masks, np.uint32))
                 gone.append(int(away.sum()))
                 spans.append(int((away & ~np.concatenate([[False], away[:-1]])).sum()))
                 kept.append(own[~away].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(per_doc, ["doc", "mark"], "left").select("doc_id", "text", "places", "masks")
-    return joined.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    with_masks = rows.join(masks, ["doc", "mark"], "left").select("doc_id", "text", "places", "masks")
+    return with_masks.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
