@@ -272,3 +272,58 @@ def test_no_reference_to_the_training_data_operators():
 
     root = Path(__file__).resolve().parents[2] / "inkwell"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"inkwell\.llm|from \.?llm", p.read_text())]
+
+
+def test_environment_cards(spark):
+    from inkwell.operators import cards
+
+    text = "\\begin{redflag}[][A-1]\nBad   sign.\n\\end{redflag}\n\\begin{keyconcept}[Bias vs Variance]\n" + "A sentence here. " * 200 + "\n\\end{keyconcept}\n\\begin{pitfall}\n\n\\end{pitfall}\\termbi{Big}{A big thing}\\clozeterm[L]{The {{c1::x}}}{y}"
+    docs = spark.createDataFrame([("d", text)], "doc string, text string")
+    rows = {r["type"]: r for r in cards.environment_cards(docs, "doc").collect()}
+    assert set(rows) == {"redflag", "keyconcept"}
+    assert rows["redflag"]["front"] == "Red flag: Red Flag" and rows["redflag"]["los_id"] == "A-1" and rows["redflag"]["back"] == "Bad sign."
+    assert rows["keyconcept"]["front"] == "Compare: Bias vs Variance" and len(rows["keyconcept"]["back"]) <= 1500 and rows["keyconcept"]["back"].endswith("here.")
+    assert [(r["front"], r["back"]) for r in cards.two_way_terms(docs, "doc").orderBy("way").collect()] == [("Define: Big", "A big thing"), ("Which term: A big thing", "Big")]
+    assert [(r["front"], r["back"], r["los_id"]) for r in cards.cloze_cards(docs, "doc").collect()] == [("The {{c1::x}}", "y", "L")]
+
+
+def test_checkpoints(spark):
+    from inkwell.operators import cards
+
+    text = "\\begin{checkpointbox}[Module 1]\\begin{enumerate}\\item[A-1] Why is it so important? \\checkpointanswer{Because {x}}\\item Too short\\item[A-2] What does the second one mean?\\item And a fourth, without any answer?\\end{enumerate}\\textbf{Answers:}\\begin{enumerate}\\item a\\item b\\item[A-2] third answer\\end{enumerate}\\end{checkpointbox}"
+    docs = spark.createDataFrame([("d", text)], "doc string, text string")
+    rows = [(r["k"], r["los_id"], r["back"].split("\n")[0]) for r in cards.checkpoints(docs, "doc").orderBy("k").collect()]
+    assert rows == [(0, "A-1", "Because {x}"), (2, "A-2", "third answer"), (3, None, "Self-check from: Module 1")]
+
+
+def test_gates(spark):
+    from inkwell.operators import gates
+
+    texts = {"good": "\\item \\textbf{Why} \\subsection{Q1} Senior and Junior \\cref{ch:x}", "bad": "Senior only"}
+    d = spark.createDataFrame(list(texts.items()), "doc string, text string")
+    found = {r["doc"]: (r["passed"], r["reason"]) for r in gates.interview_gate(d, F.lit(1), "doc").collect()}
+    assert found == {"good": (True, ""), "bad": (False, "question_count<1 (0);no_role_delta;no_los_refs")}
+    head, item = "Current as of 2026-07.\n", "\\subsection{X} text \\cite{a}\n"
+    cases = {"ok": head + item * 3, "uncited": head + item * 2 + "\\subsection{Y} none\n", "few": head + item, "old": "Current as of 2025-01." + item * 3, "future": "Current as of October 2026." + item * 3, "undated": item * 3, "month": "Current as of 2026-13" + item * 3}
+    d = spark.createDataFrame([(k, v, "fast") for k, v in cases.items()], "doc string, text string, velocity string")
+    found = {r["doc"]: r["reason"] for r in gates.currency(d, "2026-08", "doc").collect()}
+    assert found == {"ok": "", "uncited": "1/3 items uncited", "few": "few items", "old": "old", "future": "future", "undated": "undated", "month": "undated"}
+    assert [one(spark, gates.include_body("c0"), t) for t in ("TODO write", "\\section{A}\n\\label{x}", "% only", "Some prose here.")] == ["stub", "empty", "empty", None]
+    assert [one(spark, c, "[R] [ Y ] [R]") for c in gates.status_marks("c0")] == [2, 1, 0]
+    todo, fields = gates.todo_density("c0")
+    assert (one(spark, todo, "- **A**: TODO\n| a | b |\n|---|---|\n| TODO | x |"), one(spark, fields, "- **A**: TODO\n| a | b |\n|---|---|\n| TODO | x |")) == (2, 5)
+    assert one(spark, gates.section_words("c0", ["Setup", "Use"]), "## Setup\n- two words\n## Other\nx\n## Use\none two three") == 2
+    faults = spark.createDataFrame([(1, r"\(x \begin{a}\end{b} < &lt;"), (2, r"\(x\) <b>y</b>")], "i int, back string")
+    assert {(r["i"], r["fault"]) for r in gates.render_faults(faults, "i").collect()} == {(1, f) for f in ("inline delimiters", "environments", "angle bracket", "entity")}
+
+
+def test_cleaning(spark):
+    from inkwell.functions import clean
+
+    assert clean.plain(r"A \textbf{bold \emph{x}} 50\% of $a_{1}$ --- see \cref{ch:one}~\cite{k}") == "A **bold *x*** 50% of $a_{1}$ — see one [k]"
+    assert clean.plain("```\n\\textbf{x}\n```") == "```\n\\textbf{x}\n```" and clean.plain(None) is None
+    assert clean.to_html("**b** $x<y$ a<b\n- one\n- two") == r"<b>b</b> \(x<y\) a&lt;b<br><ul><li>one</li><li>two</li></ul>"
+    assert clean.inline_dollars("costs $5 and then $10 more") == [] and clean.inline_dollars("$x$ and \\$5") == [(0, 3)]
+    d = spark.createDataFrame([("abcd", "abce"), (None, "x")], "a string, b string")
+    assert [r[0] for r in d.select(clean.ratio("a", "b")).collect()] == [0.75, 0.0]
+    assert [r[0] for r in d.select(clean.clean_markup("a")).collect()] == ["abcd", None]
