@@ -50,18 +50,20 @@ def margins(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def environments(docs: DataFrame, names: tuple[str, ...], *keep: str) -> DataFrame:
-    """Environments with their options and body, off and end_off; bodies end at the first closing of the same name."""
-    parts = []
-    for name in names:
-        p = rf"(?s)\\begin\{{{name}\}}(.*?)\\end\{{{name}\}}"
-        pieces = F.split("text", rf"(?=\\begin\{{{name}\}})")
-        d = docs.select(*keep, F.posexplode(pieces).alias("k", "piece"), pieces.alias("pieces"))
-        off = F.aggregate(F.transform(F.slice("pieces", 1, F.col("k")), lambda s: F.length(s)), F.lit(0), lambda a, b: a + b)
-        d = d.withColumn("m", F.regexp_extract("piece", p, 0)).where("m <> ''").withColumn("inner", F.regexp_extract("piece", p, 1)).withColumn("off", off)
-        parts.append(d.select(*keep, F.lit(name).alias("name"), "off", (F.col("off") + F.length("m")).alias("end_off"), "inner"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """Environments with their options and body, off and end_off; bodies end at the first closing of the same name.
+
+    One pass over the texts: a text is taken once for each name that it has. Environments of
+    different names may lie in one another.
+    """
+    there = F.filter(F.array(*(F.lit(n) for n in names)), lambda n: F.contains(F.col("text"), F.concat(F.lit("\\begin{"), n, F.lit("}"))))
+    d = docs.select(*keep, "text", F.explode(there).alias("name"))
+    begin, end = (F.concat(F.lit(rf"\\{w}\{{"), F.col("name"), F.lit(r"\}")) for w in ("begin", "end"))
+    pieces = F.split("text", F.concat(F.lit("(?="), begin, F.lit(")")))
+    d = d.select(*keep, "name", F.concat(F.lit("(?s)"), begin, F.lit("(.*?)"), end).alias("p_"), pieces.alias("pieces"))
+    d = d.select(*keep, "name", "p_", "pieces", F.posexplode("pieces").alias("k", "piece"))
+    d = d.withColumn("m", F.call_function("regexp_extract", "piece", "p_", F.lit(0))).where("m <> ''").withColumn("inner", F.call_function("regexp_extract", "piece", "p_", F.lit(1)))
+    off = F.aggregate(F.transform(F.slice("pieces", F.lit(1), F.col("k")), lambda s: F.length(s)), F.lit(0), lambda x, y: x + y)
+    out = d.select(*keep, "name", off.alias("off"), "m", "inner").withColumn("end_off", F.col("off") + F.length("m"))
     lead = F.regexp_extract("inner", r"^((?:\s*\[[^\]]*+\])*+)", 1)
     options = F.regexp_extract_all(lead, F.lit(r"\[([^\]]*)\]"), F.lit(1))
     return out.select(*keep, "name", "off", "end_off", options.alias("options"), tx.strip(F.substr(F.col("inner"), F.length(lead) + 1)).alias("body"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkwell.functions import fixed
+from inkwell.operators.cards import KINDS, SCAFFOLDING
 from inkwell.sources.adapters import TYPES
 
 ORACLES: dict[str, str] = {}
@@ -363,3 +364,33 @@ ORACLES["freshness_status"] = f"WITH {_STATUS} SELECT * FROM f"
 ORACLES["freshness_report"] = f"WITH {_STATUS} SELECT status, count(*) AS n, list_position(['RENAMED', 'UNRESOLVED', 'ERROR', 'PUBLISHED', 'STALE', 'STALE?', 'BASELINE', 'OK'], status) AS place FROM f GROUP BY 1"
 ORACLES["page_changes"] = "WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, event_id, CASE WHEN b IS NULL THEN 'BASELINE' WHEN b <> event_type THEN 'STALE' ELSE 'OK' END AS status FROM l"
 ORACLES["substantive_words"] = "SELECT doc_id AS ord, len(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9 \\n-]', ' ', 'g'), '\\b[A-Za-z][A-Za-z0-9-]+\\b'))::INT AS n FROM documents"
+
+ORACLES["environment_cards"] = f"""
+SELECT p_partkey AS doc, {_list(k.type for k in KINDS)}[k + 1] AS type, p_type AS title, 'L-' || p_size::VARCHAR AS los_id, 'Body of ' || p_name || ' in ' || p_brand AS back,
+  CASE WHEN list_contains({_list(SCAFFOLDING["none"].split())}, {_list(k.type for k in KINDS)}[k + 1]) THEN 'none' WHEN list_contains({_list(SCAFFOLDING["full"].split())}, {_list(k.type for k in KINDS)}[k + 1]) THEN 'full' ELSE 'partial' END AS scaffolding_level, k::INT AS ord_extractor
+FROM (SELECT *, p_size % {len(KINDS)} AS k FROM part)"""
+ORACLES["two_way_terms"] = "SELECT p_partkey AS doc, 0 AS way, 'Define: ' || p_brand AS front, p_name AS back FROM part UNION ALL SELECT p_partkey, 1, 'Which term: ' || substr(p_name, 1, 80), p_brand FROM part"
+ORACLES["interview_gate"] = """
+WITH b AS (SELECT p_partkey AS doc, p_size % 2 = 1 AS odd, CASE WHEN p_size > 25 THEN 2 ELSE 1 END AS least, (p_size % 2)::INT AS n FROM part),
+r AS (SELECT doc, list_filter([CASE WHEN n < least THEN 'question_count<' || least::VARCHAR || ' (' || n::VARCHAR || ')' END, CASE WHEN NOT odd THEN 'no_role_delta' END, CASE WHEN NOT odd THEN 'no_los_refs' END], lambda x: x IS NOT NULL) AS rs FROM b)
+SELECT doc, len(rs) = 0 AS passed, coalesce(array_to_string(rs, ';'), '') AS reason FROM r"""
+ORACLES["open_mark_density"] = "SELECT p_partkey AS doc, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END AS todo, CASE WHEN p_size % 2 = 0 THEN 5 ELSE 0 END AS fields FROM part"
+ORACLES["status_marks"] = "SELECT p_partkey AS doc, (p_size % 2)::INT AS red, (p_size % 2)::INT AS yellow, 0 AS green FROM part"
+ORACLES["section_min_words"] = "SELECT p_partkey AS doc, CASE WHEN p_size % 2 = 1 THEN 2 END AS least FROM part"
+ORACLES["render_faults"] = rf"""
+WITH {MARKED}, b AS (SELECT ord, CASE WHEN ord % 3 = 0 THEN back || ' \( &lt; a < b \begin{{x}}' ELSE back END AS back FROM marked)
+SELECT ord, 'inline delimiters' AS fault FROM b WHERE len(regexp_extract_all(back, '\\\(')) <> len(regexp_extract_all(back, '\\\)'))
+UNION ALL SELECT ord, 'environments' FROM b WHERE list_sort(regexp_extract_all(back, '\\begin\{{([a-z*]+)\}}', 1)) <> list_sort(regexp_extract_all(back, '\\end\{{([a-z*]+)\}}', 1))
+UNION ALL SELECT ord, 'angle bracket' FROM b WHERE regexp_matches(regexp_replace(back, '<[^<>]*>', '', 'g'), '[<>]')
+UNION ALL SELECT ord, 'entity' FROM b WHERE regexp_matches(back, '&(?:amp;)?(?:lt|gt|amp|quot|nbsp);')"""
+ORACLES["paragraphs"] = f"""
+WITH {LINES}, l AS (SELECT ord, line_no, CASE WHEN line_no % 4 = 0 THEN '' ELSE line END AS line FROM lines), i AS (SELECT *, sum(({strip('line')} = '')::INT) OVER (PARTITION BY ord ORDER BY line_no) AS island FROM l)
+SELECT ord, min(line_no)::INT AS first_line, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM i WHERE {strip('line')} <> '' GROUP BY ord, island"""
+ORACLES["preserved_outcomes"] = f"""
+WITH {CARDS}, k AS (SELECT id, min(los_id) AS was FROM cards WHERE ord % 2 = 0 AND los_id IS NOT NULL GROUP BY 1)
+SELECT ord, cards.id, coalesce(CASE WHEN ord % 3 = 0 THEN los_id END, was) AS los_id FROM cards LEFT JOIN k ON k.id = cards.id"""
+ORACLES["phrase_notes"] = f"WITH {CARDS}, h AS (SELECT c.ord, arg_min(n_name, n_nationkey) AS note FROM cards c JOIN nation ON contains(lower(c.front || ' ' || c.back), substr(lower(n_name), 1, 3)) GROUP BY 1) SELECT cards.ord, h.note FROM cards LEFT JOIN h ON h.ord = cards.ord"
+ORACLES["log_sources"] = """
+WITH e AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN 'chapters/c' || (event_id % 9)::VARCHAR || '.tex' END AS opened, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_type = 'error' THEN 'o' WHEN event_type = 'click' THEN 'u' END AS cat FROM events),
+l AS (SELECT *, last_value(opened IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS src FROM e)
+SELECT coalesce(src, 'none') AS source, count(*) FILTER (cat = 'u') AS undefined, count(*) FILTER (cat = 'o') AS overfull_hbox FROM l WHERE cat IS NOT NULL GROUP BY 1"""

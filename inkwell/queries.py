@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from inkwell.functions import fixed
+from inkwell.functions import clean, fixed
 from inkwell.functions import text as tx
-from inkwell.operators import elements, identity, integrity, rewriting, rules, scoring
+from inkwell.operators import cards, elements, gates, identity, integrity, rewriting, rules, scoring
 from inkwell.plans import reports
 from inkwell.sources import adapters as ad
 from inkwell.streaming import freshness
@@ -476,3 +477,96 @@ def wrapped_lines(spark, sf):
 @query
 def run_on_fixes(spark, sf):
     return ad.marked_cards(spark, sf).select("ord", rewriting.break_run_ons("back").alias("back"))
+
+
+# cards from environments, document checks
+
+
+def _boxed(spark, sf):
+    """One marked-up text per part: a card environment by size, a two-way term and open marks."""
+    p = ad.table(spark, sf, "part")
+    env = F.element_at(F.array(*(F.lit(k.environment) for k in cards.KINDS)), (F.col("p_size") % len(cards.KINDS) + 1).cast("int"))
+    body = F.concat(F.lit("Body of "), "p_name", F.lit(" in "), "p_brand")
+    text = F.concat(
+        F.lit("\\begin{"), env, F.lit("}["), "p_type", F.lit("][L-"), F.col("p_size").cast("string"), F.lit("]\n"), body, F.lit("\n\\end{"), env, F.lit("}\n\\termbi{"), "p_brand", F.lit("}{"), "p_name", F.lit("}\n"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("- **Source**: TODO\n| a | b |\n|---|---|\n| c | TODO |\n")).otherwise(F.lit("\\subsection{Q1} IC4 or Senior \\cref{ch:x}\n## Setup\n- one two\n[R] [Y]\n")),
+    )
+    return p.select(F.col("p_partkey").alias("doc"), "p_size", text.alias("text"))
+
+
+@query
+def environment_cards(spark, sf):
+    return cards.environment_cards(_boxed(spark, sf), "doc").select("doc", "type", "title", "los_id", "back", "scaffolding_level", "ord_extractor")
+
+
+@query
+def two_way_terms(spark, sf):
+    return cards.two_way_terms(_boxed(spark, sf), "doc").select("doc", "way", "front", "back")
+
+
+@query
+def interview_gate(spark, sf):
+    return gates.interview_gate(_boxed(spark, sf), F.when(F.col("p_size") > 25, 2).otherwise(1), "doc")
+
+
+@query
+def open_mark_density(spark, sf):
+    todo, fields = gates.todo_density("text")
+    return _boxed(spark, sf).select("doc", todo.alias("todo"), fields.alias("fields"))
+
+
+@query
+def status_marks(spark, sf):
+    red, yellow, green = gates.status_marks("text")
+    return _boxed(spark, sf).select("doc", red.alias("red"), yellow.alias("yellow"), green.alias("green"))
+
+
+@query
+def section_min_words(spark, sf):
+    return _boxed(spark, sf).select("doc", gates.section_words("text", ["Setup"]).alias("least"))
+
+
+@query
+def render_faults(spark, sf):
+    d = ad.marked_cards(spark, sf).withColumn("back", F.when(F.col("ord") % 3 == 0, F.concat("back", F.lit(" \\( &lt; a < b \\begin{x}"))).otherwise(F.col("back")))
+    return gates.render_faults(d, "ord")
+
+
+@query
+def paragraphs(spark, sf):
+    d = ad.lines(spark, sf).withColumn("line", F.when(F.col("line_no") % 4 == 0, "").otherwise(F.col("line")))
+    return cards.paragraphs(d, "ord")
+
+
+@query
+def preserved_outcomes(spark, sf):
+    d = ad.cards(spark, sf).select("ord", "id", "los_id")
+    before = d.where("ord % 2 = 0").select("id", "los_id")
+    return cards.previous_outcomes(d.withColumn("los_id", F.when(F.col("ord") % 3 == 0, F.col("los_id"))), before)
+
+
+@query
+def phrase_notes(spark, sf):
+    phrases = ad.table(spark, sf, "nation").select(F.substring(F.lower("n_name"), 1, 3).alias("phrase"), F.col("n_name").alias("note"), F.col("n_nationkey").alias("ord"))
+    return cards.mapped(ad.cards(spark, sf), phrases).select("ord", "note")
+
+
+@query
+def front_ratio(spark, sf):
+    pairs = identity.near_fronts(ad.cards(spark, sf), 60)
+    fronts = ad.cards(spark, sf).select("ord", "front")
+    d = pairs.join(fronts.select(F.col("ord").alias("ord_a"), F.col("front").alias("a")), "ord_a").join(fronts.select(F.col("ord").alias("ord_b"), F.col("front").alias("b")), "ord_b")
+    return d.select("ord_a", "ord_b", (clean.ratio("a", "b") > 0.9).alias("near"))
+
+
+@query
+def cleaned_markup(spark, sf):
+    return _boxed(spark, sf).select("doc", clean.clean_markup("text").alias("plain"), clean.html_of("text").alias("html"))
+
+
+@query
+def log_sources(spark, sf):
+    e = ad.table(spark, sf, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("line_no"), "event_type", "event_id")
+    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("(./chapters/c"), (F.col("event_id") % 9).cast("string"), F.lit(".tex"))).when(F.col("event_type") == "error", F.lit("Overfull \\hbox (3pt too wide)")).when(F.col("event_type") == "click", F.lit("LaTeX Warning: Reference `x' undefined")).otherwise(F.lit("ok"))
+    d = elements.log_sources(e.withColumn("line", line), "user_id").where("category is not null")
+    return d.groupBy(F.coalesce("source", F.lit("none")).alias("source")).pivot("category", ["undefined", "overfull_hbox"]).count().fillna(0)
