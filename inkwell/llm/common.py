@@ -24,7 +24,7 @@ PASS_BYTES = 1 << 20
 
 
 #: Rows and bytes of one Arrow batch, so that a worker's memory doesn't depend on how long texts are.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -55,12 +55,17 @@ def shared_dir(spark: SparkSession) -> str:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
+def cut(df: DataFrame, name: str = "step", narrow: int = 0, spread: bool = False) -> DataFrame:
     """Write to the shared folder and read back: lineage ends, and a lost executor costs nothing.
 
-    The finished step's shuffle files are removed, as nothing refers to them any more.
+    The finished step's shuffle files are removed, as nothing refers to them any more. narrow: for
+    tables of short rows, that fraction of the shuffle partitions is enough, with as many fewer files;
+    spread: they are dealt out first, so that the step before keeps its own number of tasks.
     """
     spark = df.sparkSession
+    if narrow:
+        files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // narrow)
+        df = df.repartition(files) if spread else df.coalesce(files)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")

@@ -106,7 +106,7 @@ class Pieces:
         key = left << 32 | right
         known = self.known_pairs.get(key)
         if known is None:
-            if len(self.known_pairs) >= 1_000_000:
+            if len(self.known_pairs) >= 300_000:
                 self.known_pairs.clear()
             known = self.known_pairs[key] = self._stays(left, right)
         return known

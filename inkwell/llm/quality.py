@@ -211,7 +211,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """stats: doc_id and stats; labels: doc_id and label. Learns from all rows whose remainder isn't 1."""
     target = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("label"))
     rows = stats.join(target, "doc_id").withColumn("fold", remainder()).where("fold <> 1")
-    rows = common.cut(rows.select("fold", "label", "stats"), "labelled")
+    rows = common.cut(rows.select("fold", "label", "stats"), "labelled", narrow=4)
     width = len(STATISTICS)
     wide = rows.select(*(F.col("stats")[i].alias(f"s{i}") for i in range(width)))
     first = wide.agg(*(F.avg(f"s{i}").alias(f"m{i}") for i in range(width)), *(F.stddev_pop(f"s{i}").alias(f"d{i}") for i in range(width))).first()

@@ -25,8 +25,8 @@ from . import common, pieces
 from .sentencepiece_codec import read_model
 
 #: Trie nodes and counts held at once; either then starts anew. Only speed and memory depend on them.
-NODES = 800_000
-COUNTS = 500_000
+NODES = 600_000
+COUNTS = 300_000
 
 
 class CountTrie:

@@ -62,6 +62,8 @@ def jaccard_brute(texts):
 def test_jaccard_components(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "COMMON", 2)  # so that the small corpus has common elements
     monkeypatch.setattr(jaccard_join, "SPLIT", 8)
+    monkeypatch.setattr(jaccard_join, "DENSE", 3 if seed == 2 else 32)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 300)
     texts = corpus(seed)
     docs = table(spark, texts)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()}
