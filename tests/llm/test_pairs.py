@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm import components, decontaminate, jaccard_join, neighbours, strings, suffix_dedup
 
@@ -70,6 +72,36 @@ def test_jaccard_components(spark, seed, monkeypatch):
     assert found == jaccard_brute(texts)
 
 
+def test_jaccard_pair_of_different_needs(spark):
+    """A pair at the threshold with needs 4 and 1, whose common list has a hub that links to neither."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    hot, warm, rare = words("hot", 86), words("warm", 86), words("rare", 12)
+    node = lambda w: jaccard_join.set_id(next(jaccard_join.sets(pa.array([" ".join(w)]))))
+    y = hot + words("y", 16) + rare
+    x = next(x for x in (hot + words(f"x{k}w", 6) + rare for k in range(1000)) if node(x) < node(y))  # the smaller node asks
+    hub = next(h for h in (rare + [f"hub{k}"] + warm for k in range(1000)) if node(h) < node(x))
+    texts = [(1, x), (2, y), *((10 + i, hot + warm + words(f"other{i}w", 300)) for i in range(8))]
+    texts = [(i, " ".join(w)) for i, w in [*texts, (3, hub)]]
+    docs = table(spark, texts)
+    order = jaccard_join.order_of(jaccard_join.census(docs.coalesce(1)))
+    of_x, of_y, of_hub = (jaccard_join.prefix(u, order) for u in jaccard_join.sets(pa.array([texts[k][1] for k in (0, 1, -1)])))
+    shared = set(of_x[0].tolist()) & set(of_y[0].tolist())
+    assert (of_x[1], of_y[1], len(shared)) == (4, 1, 8) and shared <= set(of_hub[0].tolist())
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs.coalesce(1)).collect()}
+    assert found == jaccard_brute(texts) and found[2][1] == 1
+
+
+def test_jaccard_asks_no_more_than_any_pair(spark):
+    """What a node has to share with a component is what the least demanding pair needs."""
+    pairs = spark.range(1, 90).selectExpr("id as n").crossJoin(spark.range(1, 5).selectExpr("id as need")).crossJoin(spark.range(1, 5).selectExpr("id as least"))
+    sizes = pairs.crossJoin(spark.range(1, 121).selectExpr("id as m")).where("m * 100 >= n * 75 and n * 100 >= m * 75")
+    x, y = F.struct("n", "need").alias("x"), F.struct(F.col("m").alias("n"), F.col("least").alias("need")).alias("y")
+    exact = sizes.select("n", "need", "least", x, y).withColumn("asks", jaccard_join._least("x", "y", "least(x.need, y.need)")).groupBy("n", "need", "least").agg(F.min("asks").alias("exact"))
+    c = F.struct(F.lit(1).alias("low"), F.lit(120).alias("high"), "least").alias("c")
+    found = pairs.select("n", "need", "least", F.struct("n", "need").alias("x"), c).withColumn("found", F.expr(jaccard_join._asks()[2]))
+    assert [tuple(r) for r in found.join(exact, ["n", "need", "least"]).where("found <> exact").select("n", "need", "least", "found", "exact").collect()] == []
+
+
 def test_jaccard_edges(spark):
     same = "one two three four five six seven"
     rows = [(None, same, "en", "s", 1), (7, same, "en", "s", 1), (7, same, "en", "s", 1), (8, None, "en", "s", 1), (None, "", "en", "s", 1)]
