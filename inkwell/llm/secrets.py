@@ -8,7 +8,11 @@ Method (kind novel): dictionary-primed zstandard. In the WINDOW characters after
 every candidate of NOVEL_LENGTH or more characters is compressed after a dictionary of common
 identifiers and the code around it: once the surroundings alone and once with the candidate. The
 bytes that it adds, against what its alphabet would need at least, say how new it is; one that the
-dictionaries don't help to compress is reported. A candidate that overlaps a base span isn't reported again.
+dictionaries don't help to compress is reported, and with it every other place of the same string,
+in a sensitive context or not. Candidates and base spans are blanked out of the surroundings first,
+so that a secret's copies don't hide each other. A copy outside any sensitive context isn't a
+candidate and stays: a string that stands near such a copy is taken as known. A candidate that
+overlaps a base span isn't reported again.
 
 Null or empty text: no spans. Ties, that is spans with one start: in the order of KINDS. Repeated
 rows: each is scanned. Very long texts are scanned whole. Extra columns are ignored by scan() except those named in keep.
@@ -131,8 +135,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Incompressible candidates in a sensitive context that overlap no base span."""
-    found: dict[int, int] = {}
+    """Incompressible candidates in a sensitive context that overlap no base span, and all other places of the same strings."""
+    met: dict[int, tuple[int, int]] = {}
     for context in CONTEXT.finditer(text):
         for m in CANDIDATE.finditer(text, context.end()):
             if m.start() > context.end() + WINDOW:
@@ -140,11 +144,51 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
             start, end = m.span()
             while end - start > NOVEL_LENGTH and text[end - 1] in ".=-":
                 end -= 1
-            if start in found or not mixed(text[start:end]) or any(b < end and start < e for b, _, e in base):
+            if start in met or not mixed(text[start:end]) or any(b < end and start < e for b, _, e in base):
                 continue
-            if novelty.share(text[max(0, start - 256) : start], text[start:end], text[m.end() : m.end() + 128]) >= NOVELTY:
-                found[start] = end
-    return [(start, 3, end) for start, end in found.items()]
+            met[start] = end, m.end()
+    if not met:
+        return []
+    # candidates and base spans tell nothing about how new another candidate is, least of all its own copies
+    plain = blanked(text, sorted([(start, end) for start, (end, _) in met.items()] + [(b, e) for b, _, e in base]))
+    found = {}
+    for start, (end, behind) in met.items():
+        if novelty.share(plain[max(0, start - 256) : start], text[start:end], plain[behind : behind + 128]) >= NOVELTY:
+            found[start] = end
+    return [(start, 3, end) for start, end in places(text, found, base).items()]
+
+
+def blanked(text: str, spans: list[tuple[int, int]]) -> str:
+    """text with the sorted spans made blanks."""
+    out, at = [], 0
+    for start, end in spans:
+        if end > at:
+            out += [text[at:start], " " * (end - max(start, at))]
+            at = end
+    return "".join([*out, text[at:]])
+
+
+def places(text: str, found: dict[int, int], base: list[tuple[int, int, int]]) -> dict[int, int]:
+    """found (start and end) and every other place of its strings that isn't wholly inside another span."""
+    if not found:
+        return found
+    by_head: dict[str, set[str]] = {}
+    for start, end in found.items():
+        by_head.setdefault(text[start : start + NOVEL_LENGTH], set()).add(text[start:end])
+    longest = {head: sorted(strings, key=len, reverse=True) for head, strings in by_head.items()}
+    covered = sorted([(b, e) for b, _, e in base] + list(found.items()))
+    out, k, reach = dict(found), 0, 0
+    for run in CANDIDATE.finditer(text):
+        at = run.start()
+        while at <= run.end() - NOVEL_LENGTH:
+            while k < len(covered) and covered[k][0] <= at:
+                reach = max(reach, covered[k][1])
+                k += 1
+            string = next((s for s in longest.get(text[at : at + NOVEL_LENGTH], ()) if text.startswith(s, at)), None)
+            if string and at + len(string) > reach:
+                out[at] = at + len(string)
+            at += len(string) if string else 1
+    return out
 
 
 def named(spans: list[tuple[int, int, int]]) -> str:

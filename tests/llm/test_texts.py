@@ -157,6 +157,23 @@ def test_novel_strings_need_a_context_and_novelty():
     assert spans("the private key follows incomprehensibilities") == ""
 
 
+def test_copies_of_a_novel_string():
+    """Copies near each other don't hide each other, and every place is reported."""
+    key = "ghp_16C7e42F292c6912E7710c838347Ae178B4a"
+
+    def parts(text):
+        base = secrets.base_spans(text)
+        return [text[a:b] for a, _, b in sorted(secrets.novel_spans(text, base, secrets.Novelty()))]
+
+    assert parts(f"session key {key} failed, retry with session key {key}") == [key] * 2
+    assert parts(f"login token {key}\n" * 30) == [key] * 30
+    assert parts(f"session key {key} here" + " plain words" * 40 + f" and {key} there, /{key}/x") == [key] * 3
+    assert parts(f"api_key={key} and then the auth header {key}") == [key]
+    assert parts("the session key is configuration2Path3Value4Item here\n" * 3) == []
+    text = f"session key {key} failed, retry with session key {key}"
+    assert key not in secrets.redact(text, secrets.novel_spans(text, [], secrets.Novelty()))
+
+
 def test_secret_tables(spark):
     long = "plain words " * 20_000 + 'token = "0123abcd"'
     rows = [(1, 'x password: "abcdef1"', "en", "s", 21), (2, None, "en", "s", None), (3, "", "en", "s", 0), (4, long, "en", "s", len(long)), (4, long, "en", "s", len(long))]
