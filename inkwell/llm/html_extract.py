@@ -5,7 +5,10 @@ path is the tags and classes from the root with digits generalised. Every page v
 the path of its best container with that container's share of the page's text; a host's winning
 paths are those with at least SUPPORT of its strongest path's votes. Each page is then extracted
 again by the first winning path that it has and that holds at least AGREE of the text of its own
-best container, else by its own best.
+best path, else by its own best. The text is that of all containers with the path, in page order.
+
+A best container inside an article or main element gives way to that element, if what this adds has
+text, and no more text in links than other text.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 left out by tag, role and class names. A header inside the article that has a heading stays.
@@ -65,6 +68,7 @@ class Node:
     tag: str
     path: str = ""
     good: bool = False
+    whole: bool = False  # an article or main element, or one in the role of it
     link: bool = False
     parts: list = field(default_factory=list)  # texts and nodes in order
     text: int = 0  # characters of its own and its inline children's text that are in no link
@@ -163,7 +167,8 @@ def parse(text: str) -> Node:
         node = None
         if parent is not None and not left_out(tag, attributes):
             node = Node(tag, f"{parent.path}>{generalised(tag, attributes)}" if tag not in INLINE else parent.path)
-            node.good = tag in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody" or any(w in GOOD_WORDS for w in words_of(attributes.get("class", "")) + words_of(attributes.get("id", "")))
+            node.whole = tag in ("article", "main") or (tag in CONTAINERS and (attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody"))
+            node.good = node.whole or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody" or any(w in GOOD_WORDS for w in words_of(attributes.get("class", "")) + words_of(attributes.get("id", "")))
             node.link = tag == "a" or parent.link
             parent.parts.append(node)
         if tag in RAW:
@@ -223,41 +228,69 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def candidates(root: Node) -> list[tuple[float, int, Node]]:
-    """(score, text, container) of every container; the score favours the innermost that holds nearly all the text."""
-    order: list[Node] = []
-    pending = [root]
+@dataclass(slots=True)
+class Candidate:
+    score: float
+    text: int  # characters outside links
+    linked: int  # characters in links
+    node: Node
+    outer: Candidate | None  # the container around it
+
+
+def candidates(root: Node) -> list[Candidate]:
+    """Every container in page order; the score favours the innermost that holds nearly all the text."""
+    order: list[tuple[Node, Node | None]] = []
+    pending: list[tuple[Node, Node | None]] = [(root, None)]
     while pending:
-        one = pending.pop()
-        order.append(one)
-        pending += [c for c in one.parts if not isinstance(c, str)]
+        one, outer = pending.pop()
+        order.append((one, outer))
+        around = one if one.tag in CONTAINERS or one.tag == "#root" else outer
+        pending += [(c, around) for c in reversed(one.parts) if not isinstance(c, str)]
     total: dict[int, int] = {}
+    linked: dict[int, int] = {}
     own: dict[int, float] = {}
-    for one in reversed(order):
-        text, near = 0, 0.0
+    for one, _ in reversed(order):
+        text, links, near = 0, 0, 0.0
         for part in one.parts:
             if isinstance(part, str):
-                text += 0 if one.link else len(part.strip())
+                if one.link:
+                    links += len(part.strip())
+                else:
+                    text += len(part.strip())
             else:
                 text += total[id(part)]
+                links += linked[id(part)]
                 near += own[id(part)] if part.tag not in CONTAINERS else 0.4 * own[id(part)]
-        total[id(one)] = text
+        total[id(one)], linked[id(one)] = text, links
         if one.tag in CONTAINERS or one.tag == "#root":
             direct = sum(len(p.strip()) for p in one.parts if isinstance(p, str) and not one.link)
             own[id(one)] = near + direct
         else:
             own[id(one)] = float(text) if not any(not isinstance(p, str) and p.tag in CONTAINERS for p in one.parts) else near
-    found = []
-    for one in order:
+    found: dict[int, Candidate] = {}
+    for one, outer in order:
         if one.tag in CONTAINERS or one.tag == "#root":
             weight = {"article": 2.0, "main": 1.6, "body": 0.8, "#root": 0.7}.get(one.tag, 1.0) * (1.4 if one.good and one.tag not in ("article", "main") else 1.0)
-            found.append((own[id(one)] * weight, total[id(one)], one))
-    return found
+            found[id(one)] = Candidate(own[id(one)] * weight, total[id(one)], linked[id(one)], one, found[id(outer)] if outer else None)
+    return list(found.values())
 
 
-def best(root: Node) -> tuple[float, int, Node]:
-    """The container with the highest score; of equal ones the first in the page."""
-    return max(candidates(root), key=lambda c: c[0])
+def best(all_: list[Candidate]) -> Candidate:
+    """The container with the highest score, of equal ones the first in the page, or the article or main element around it."""
+    one = max(all_, key=lambda c: c.score)
+    around = one.outer
+    while around:
+        more, links = around.text - one.text, around.linked - one.linked
+        if around.node.whole and more > 0 and more >= links:
+            one = around
+        around = around.outer
+    return one
+
+
+def along(all_: list[Candidate], path: str) -> tuple[list[Candidate], int]:
+    """The containers with a path, in page order, and the characters of their text. One path has one depth, so none holds another."""
+    same = [c for c in all_ if c.node.path == path]
+    return same, sum(c.text for c in same)
 
 
 def host_of() -> F.Column:
@@ -266,17 +299,17 @@ def host_of() -> F.Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path and vote of each page's best container."""
+    """host, path and vote of each page's best path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, shares = [], []
             for page in batch.column("html").to_pylist():
-                root = parse(page or "")
-                _, text, node = best(root)
-                whole = max(c[1] for c in candidates(root))
-                paths.append(node.path)
-                shares.append(text / whole if whole else 0.0)
+                all_ = candidates(parse(page or ""))
+                path = best(all_).node.path
+                whole = max(c.text for c in all_)
+                paths.append(path)
+                shares.append(along(all_, path)[1] / whole if whole else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], names=["host", "path", "vote"])
 
     return pages.select(host_of().alias("host"), "html").mapInArrow(run, "host string, path string, vote double")
@@ -295,17 +328,16 @@ def text_by(page: str | None, paths: list[str] | None) -> tuple[str, str]:
     """Main text of one page by its host's winning paths, and the path that was used."""
     if not page:
         return "", ""
-    root = parse(page)
-    all_ = candidates(root)
-    _, most, node = max(all_, key=lambda c: c[0])
+    all_ = candidates(parse(page))
+    own = best(all_).node.path
+    same, most = along(all_, own)
+    used = own
     for path in paths or ():
-        same = [c for c in all_ if c[2].path == path]
-        if same and sum(c[1] for c in same) >= AGREE * most and sum(c[1] for c in same):
-            if path == node.path and len(same) > 1:
-                same = [c for c in same if c[2] is node]
-            one = max(same, key=lambda c: c[0])
-            return " ".join(blocks(one[2])), path
-    return " ".join(blocks(node)), node.path
+        voted, text = along(all_, path)
+        if text and text >= AGREE * most:
+            same, used = voted, path
+            break
+    return " ".join(b for c in same for b in blocks(c.node)), used
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -37,6 +37,26 @@ def test_page_text(page, text):
     assert html_extract.text_by(page, None)[0] == text
 
 
+SEVERAL = [
+    ("<body><div class=part><p>" + "first words " * 90 + "</p></div><div class=part><p>" + "second words " * 80 + "</p></div></body>", "first words " * 90 + "second words " * 80),
+    ("<article><h1>T</h1><p>intro</p><section><p>" + "long text " * 60 + "</p></section></article>", "T intro " + "long text " * 60),
+    ("<article><header><h1>T</h1></header><section><p>" + "long text " * 60 + "</p></section></article>", "T " + "long text " * 60),
+    ("<main><ul><li><a href=x>another page of this site</a></ul><article><p>" + "long text " * 60 + "</p></article></main>", "long text " * 60),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SEVERAL)
+def test_articles_of_several_containers(page, text):
+    found, path = html_extract.text_by(page, None)
+    assert found == text.strip()
+    assert html_extract.text_by(page, [path])[0] == text.strip()
+
+
+def test_all_containers_of_a_winning_path():
+    page = "<body>" + "".join(f"<section class=s{i}><p>part {i} of the text</p></section>" for i in range(5)) + "<div><a href=x>more</a></div></body>"
+    assert html_extract.text_by(page, [">body>section.s0"]) == (" ".join(f"part {i} of the text" for i in range(5)), ">body>section.s0")
+
+
 def test_host_paths_decide(spark):
     """Pages whose own best container is a long side text are extracted by the path that their host's other pages agree on."""
     normal = "<div class='main-{i}'><p>" + "article words here " * 20 + "</p></div><div class=box><p>short</p></div>"
