@@ -7,10 +7,11 @@ words. Nothing here shortens a text.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -20,32 +21,53 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Bytes of text handled in one numpy pass; a longer single text is one pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 
 
 #: Rows and bytes of one Arrow batch, so that a worker's memory doesn't depend on how long texts are.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Python workers give freed blocks of this size back to the system, instead of keeping their peak.
+GIVEN_BACK = str(1 << 20)
+WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": GIVEN_BACK, "MALLOC_TRIM_THRESHOLD_": GIVEN_BACK, "MALLOC_ARENA_MAX": "2", "OPENBLAS_NUM_THREADS": "1"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, also where the caller's path isn't theirs, and bound the batches they get."""
+    """Let Python workers import this package, also where the caller's path isn't theirs, and bound what they hold."""
     for key, value in BATCH.items():
         spark.conf.set(key, value)
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    for key, value in WORKER.items():
+        environment.setdefault(key, value)
     return spark
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object] | None = None) -> object:
+    """What a worker keeps from one task to the next, made if it isn't there. Whatever was kept under another key goes."""
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+        _KEPT[key] = make() if make else None
+    return _KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader opens the path."""
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in a local session that has none, a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="inkwell-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -58,7 +80,8 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def cut(df: DataFrame, name: str = "step", narrow: int = 0, spread: bool = False) -> DataFrame:
     """Write to the shared folder and read back: lineage ends, and a lost executor costs nothing.
 
-    The finished step's shuffle files are removed, as nothing refers to them any more. narrow: for
+    The finished step's shuffle files are removed, as nothing refers to them any more, and so are its
+    broadcasts, which Spark drops when the driver has collected its garbage. narrow: for
     tables of short rows, that fraction of the shuffle partitions is enough, with as many fewer files;
     spread: they are dealt out first, so that the step before keeps its own number of tasks.
     """
@@ -73,9 +96,19 @@ def cut(df: DataFrame, name: str = "step", narrow: int = 0, spread: bool = False
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN, before)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by cut() that nothing reads any more."""
+    for table_ in tables:
+        for path in {name.rsplit("/", 1)[0] for name in table_.inputFiles()}:
+            at = table_.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table_.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a bijection of 64-bit values."""
     h = h ^ (h >> np.uint64(30))
