@@ -17,6 +17,8 @@ model's byte pieces.
 
 from __future__ import annotations
 
+import re
+
 import ahocorasick
 import numpy as np
 
@@ -58,6 +60,7 @@ class Pieces:
             raise ValueError("a piece has a blank after another character; texts can't be parted at blanks")
         if any(ch not in self.singles for p in self.id_of for ch in p) and self.merges:
             raise ValueError("a piece has a character that is no piece")
+        self.longest = max(map(len, self.id_of), default=1)
         self.halves: dict[int, tuple[int, int]] = {}
         self.known_pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
@@ -69,7 +72,7 @@ class Pieces:
     def merged(self, text: str) -> list[int]:
         """Plain merging, the highest score first and of equal ones the leftmost; FREE for unknown characters.
 
-        Used for runs of blanks, whose pieces share one score, and to take pieces apart.
+        Used to take pieces apart; no piece is long.
         """
         parts = list(text)
         self_last = (0, 0)
@@ -132,8 +135,6 @@ class Pieces:
 
     def segment(self, text: str) -> list[int]:
         """Ids of the best segmentation of text as it stands (no blank is put before it)."""
-        if self.merges and text.startswith("  "):
-            return self._ids([(len(self.text_of[i]), i) if i >= 0 else (1, FREE) for i in self.merged(text)], text)
         last = self._merge_path(text) if self.merges else self._sum_path(text)
         path, i = [], len(text)
         while i:
@@ -208,26 +209,11 @@ def pretokens(text: str) -> list[str]:
     parts = text.split(" ")
     if "" not in parts:
         return parts
-    out, blanks = [], 0
-    for part in parts[:-1]:
-        if part:
-            out.append(" " * blanks + part)
-            blanks = 0
-        else:
-            blanks += 1
-    out.append(" " * blanks + parts[-1])
-    return out
-
-
-_LOADED: dict[bytes, Pieces] = {}
-
-
-def load(model: bytes) -> Pieces:
-    """The automaton of this model, kept for the life of the worker."""
-    if model not in _LOADED:
-        _LOADED.clear()
-        _LOADED[model] = Pieces(model)
-    return _LOADED[model]
+    return _AFTER_BLANK.findall(" " + text)
+
+
+#: What follows the one blank before a pre-token.
+_AFTER_BLANK = re.compile(r" ( *[^ ]+| *\Z)")
 
 
 def packed(ids: list[int]) -> bytes:

@@ -40,22 +40,16 @@ def read_model(path: str = MODEL) -> bytes:
     return data
 
 
-_CODERS: dict[bytes, Encoder] = {}
-
-
 def coder_of(model: bytes) -> Encoder:
-    """Kept for the life of the worker, so that later tasks find the words of earlier ones."""
-    if model not in _CODERS:
-        _CODERS.clear()
-        _CODERS[model] = Encoder(model)
-    return _CODERS[model]
+    """Kept by the worker while it does nothing else, so that later tasks find the words of earlier ones."""
+    return common.kept(("coder", model), lambda: Encoder(model))
 
 
 class Encoder:
     """Texts to packed little-endian 32-bit ids and back."""
 
     def __init__(self, model: bytes):
-        self.pieces = pieces.load(model)
+        self.pieces = pieces.Pieces(model)
         self.known: dict[str, bytes] = {}
         sizes = np.array([len(b) for b in self.pieces.bytes_of], np.int64)
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes

@@ -14,6 +14,7 @@ counted. Extra columns are kept by counted(); one named as the output is replace
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,13 +28,15 @@ from .sentencepiece_codec import read_model
 #: Trie nodes and counts held at once; either then starts anew. Only speed and memory depend on them.
 NODES = 600_000
 COUNTS = 300_000
+#: Characters of a pre-token that go into the trie; the rest of a longer one is scored with a window of the last positions.
+DEPTH = 64
 
 
 class CountTrie:
     """Trie of pre-tokens. A node holds its prefix's forward score, last piece and number of tokens."""
 
     def __init__(self, model: bytes):
-        self.pieces = pieces.load(model)
+        self.pieces = pieces.Pieces(model)
         self.terminal: dict[str, int] = {}
         self.clear()
 
@@ -48,29 +51,28 @@ class CountTrie:
         """Tokens of one pre-token with its blank; only the part of it that the trie lacks is scored."""
         if len(self.best) >= NODES:
             self.clear()
-        text, model = " " + word, self.pieces
-        if model.merges and word.startswith(" "):
-            return len(model.segment(text))
-        path, node = [0], 0
-        for ch in text:
-            node = self.next.get(node << 21 | ord(ch))
+        text, path, node, follow = " " + word, [0], 0, self.next.get
+        for ch in text[:DEPTH]:
+            node = follow(node << 21 | ord(ch))
             if node is None:
                 break
             path.append(node)
         if len(path) <= len(text):
-            self._extend(text, path)
-        tokens = self.tokens[path[-1]]
-        if len(word) <= 64:
+            tokens = self._extend(text, path) if len(text) <= DEPTH else self._long(text, path)
+        else:
+            tokens = self.tokens[path[-1]]
+        if len(word) <= DEPTH:
             if len(self.terminal) >= COUNTS:
                 self.terminal.clear()
             self.terminal[word] = tokens
         return tokens
 
-    def _extend(self, text: str, path: list[int]) -> None:
-        """Nodes for the prefixes of text longer than path, each scored from its ancestors on path."""
+    def _extend(self, text: str, path: list[int]) -> int:
+        """Nodes for the prefixes of text longer than path, each scored from its ancestors on path; tokens of the whole text."""
         model = self.pieces
+        best, last, tokens, follow = self.best, self.last, self.tokens, self.next
+        pairs, stays, had = model.known_pairs, model.stays, len(path)
         found: dict[int, list[tuple[int, int]]] = {}
-        had = len(path)
         for end, piece in model.automaton.iter(text):
             if end + 1 >= had:
                 found.setdefault(end + 1, []).append(piece)
@@ -79,41 +81,58 @@ class CountTrie:
             top, via = 0.0, (1, pieces.FREE)
             if model.merges:
                 for piece in found.get(end, ()):
-                    before = self.last[path[end - piece[0]]]
-                    if before < 0 or model.stays(before, piece[1]):
+                    before = last[path[end - piece[0]]]
+                    if before < 0 or pairs.get(before << 32 | piece[1]) or stays(before, piece[1]):
                         via = piece
                         break
             else:
-                top, via = model.relax(ch, found.get(end, ()), lambda length, end=end: self.best[path[end - length]])
-            made = len(self.best)
-            self.next[path[-1] << 21 | ord(ch)] = made
-            self.best.append(top)
-            self.last.append(via[1])
-            self.tokens.append(self.tokens[path[end - via[0]]] + (1 if via[1] >= 0 else len(model.fallback(ch))))
+                top, via = model.relax(ch, found.get(end, ()), lambda length, end=end: best[path[end - length]])
+            made = len(best)
+            follow[path[-1] << 21 | ord(ch)] = made
+            best.append(top)
+            last.append(via[1])
+            tokens.append(tokens[path[end - via[0]]] + (1 if via[1] >= 0 else len(model.fallback(ch))))
             path.append(made)
+        return tokens[path[-1]]
+
+    def _long(self, text: str, path: list[int]) -> int:
+        """Tokens of a text too long for the trie: on from the node where it leaves it, with a window of the last positions."""
+        model = self.pieces
+        best, last, tokens = ([kind[n] for n in path] for kind in (self.best, self.last, self.tokens))
+        off, found, done = 0, [], len(path) - 1  # off: positions before those that are still held
+        for end, some in itertools.chain(model.automaton.iter(text), [(len(text), None)]):
+            while done < end:  # all that ends at the character done is found
+                top, via = 0.0, (1, pieces.FREE)
+                if model.merges:
+                    for piece in found:
+                        before = last[done + 1 - piece[0] - off]
+                        if before < 0 or model.stays(before, piece[1]):
+                            via = piece
+                            break
+                else:
+                    top, via = model.relax(text[done], found, lambda n, to=done + 1 - off: best[to - n])
+                tokens.append(tokens[done + 1 - via[0] - off] + (1 if via[1] >= 0 else len(model.fallback(text[done]))))
+                best.append(top)
+                last.append(via[1])
+                found = []
+                done += 1
+                if len(tokens) > 4096 + model.longest:
+                    off += 4096
+                    del best[:4096], last[:4096], tokens[:4096]
+            if end == done:
+                found.append(some)
+        return tokens[-1]
 
     def text(self, text: str | None) -> int:
         if not text:
             return 0
         get, made = self.terminal.get, self.count
-        total = 0
-        for word in pieces.pretokens(text):
-            known = get(word)
-            if known is None:
-                known = made(word)
-            total += known
-        return total
-
-
-_TRIES: dict[bytes, CountTrie] = {}
+        return sum([get(w) or made(w) for w in pieces.pretokens(text)])
 
 
 def trie_of(model: bytes) -> CountTrie:
-    """Kept for the life of the worker, so that later tasks find the words of earlier ones."""
-    if model not in _TRIES:
-        _TRIES.clear()
-        _TRIES[model] = CountTrie(model)
-    return _TRIES[model]
+    """Kept by the worker while it does nothing else, so that later tasks find the words of earlier ones."""
+    return common.kept(("trie", model), lambda: CountTrie(model))
 
 
 def counted(df: DataFrame, model: bytes, text: str = "text", tokens: str = "n_tokens") -> DataFrame:

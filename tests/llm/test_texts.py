@@ -184,3 +184,36 @@ def test_secret_tables(spark):
     clean = {r["doc_id"]: r for r in secrets.redacted(docs).collect()}
     assert clean[1]["text"] == 'x [secret]"' and clean[1]["n_chars"] == 11 and clean[2]["text"] is None and clean[2]["n_chars"] is None
     assert secrets.redacted(docs).columns == docs.columns and secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_long_runs_of_blanks():
+    """Ids are the library's, and time grows in proportion to the run."""
+    import time
+
+    coder, counter = sentencepiece_codec.coder_of(MODEL), token_counts.CountTrie(MODEL)
+    for n in (2, 3, 15, 16, 17, 33, 100, 1000):
+        for rest in ("", "x", "return", "é", "\n", "漢 "):
+            text = " " * n + rest
+            ids = np.frombuffer(coder.encode(text), "<i4").tolist()
+            assert ids == library().encode(text) and counter.text(text) == len(ids)
+    text = "a" + " " * 1_000_000 + "b"
+    began = time.process_time()
+    assert counter.text(text) == len(coder.encode(text)) // 4 == len(library().encode(text))
+    assert time.process_time() - began < 30
+
+
+@given(st.lists(st.sampled_from(["  ", "a", "the", ",", ".\n", "é", "漢", "x_y", "Th", "▁"]), max_size=200))
+@settings(max_examples=80, deadline=None)
+def test_parts_of_pretokens_are_segmented_apart(parts):
+    text = "".join(parts)
+    model = pieces.Pieces(MODEL)
+    whole = [i for word in pieces.pretokens(text) for i in model.segment(" " + word)] if text else []
+    assert np.frombuffer(sentencepiece_codec.Encoder(MODEL).encode(text), "<i4").tolist() == whole
+    assert token_counts.CountTrie(MODEL).text(text) == len(whole)
+
+
+def test_a_worker_keeps_one_thing():
+    first = common.kept("one", list)
+    assert common.kept("one", list) is first
+    common.kept("two", list)
+    assert common.kept("one", list) is not first
