@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import components, decontaminate, jaccard_join, neighbours, strings, suffix_dedup
+from inkwell.llm import common, components, decontaminate, jaccard_join, neighbours, strings, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -236,3 +236,34 @@ def test_neighbours(spark, monkeypatch):
 def test_chi_square_quantile():
     assert neighbours.chi_square_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3)
     assert neighbours.chi_square_quantile(0.99, 10) == pytest.approx(23.209, abs=1e-3)
+
+
+def test_neighbours_skip_leaves_of_far_clusters(spark, monkeypatch):
+    """Clusters with neighbours nearer than other clusters: most leaves aren't looked at, and nothing is lost. Two lengths are searched apart."""
+    monkeypatch.setattr(neighbours, "LEAF", 50)
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(60, 24)), 40, axis=0) + 0.02 * rng.normal(size=(2400, 24))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    other = rng.normal(size=(30, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, v.tolist()) for i, v in enumerate(other)]
+    asked = []
+    cut = common.cut
+
+    def counting(df, name="step", **more):
+        made = cut(df, name, **more)
+        if name == "probes":
+            asked.append(made.count())
+        return made
+
+    monkeypatch.setattr(common, "cut", counting)
+    found = {}
+    for r in neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(asked) < 0.5 * 120 * 48
+    hits = 0
+    for q in range(0, 2400, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 120
+    assert found[5000] <= {5000 + i for i in range(1, 30)} and len(found[5000]) == 20
