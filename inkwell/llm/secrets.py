@@ -7,7 +7,7 @@ hex (a lower-case hexadecimal run of 24 or more).
 Method (kind novel): dictionary-primed zstandard. In the WINDOW characters after a sensitive word,
 every candidate of NOVEL_LENGTH or more characters is compressed after a dictionary of common
 identifiers and the code around it: once the surroundings alone and once with the candidate. The
-bytes that it adds, against what its alphabet would need at least, say how new it is; one that the
+bytes that it adds, as a whole or a window of it, against what its alphabet would need at least, say how new it is; one that the
 dictionaries don't help to compress is reported, and with it every other place of the same string,
 in a sensitive context or not. Candidates and base spans are blanked out of the surroundings first,
 so that a secret's copies don't hide each other. A copy outside any sensitive context isn't a
@@ -15,7 +15,7 @@ candidate and stays: a string that stands near such a copy is taken as known. A
 overlaps a base span isn't reported again.
 
 Null or empty text: no spans. Ties, that is spans with one start: in the order of KINDS. Repeated
-rows: each is scanned. Very long texts are scanned whole. Extra columns are ignored by scan() except those named in keep.
+rows: each is scanned. Very long texts and candidates are scanned whole. Extra columns are ignored by scan() except those named in keep.
 """
 
 from __future__ import annotations
@@ -46,8 +46,10 @@ CONTEXT = re.compile(r"(?:" + "|".join(SENSITIVE) + r""")[A-Za-z_]{0,16}["'`]?\x
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_~=.-]{16,}")
 WINDOW = 48
 NOVEL_LENGTH = 16
-#: Candidate characters that are compressed; a longer candidate is judged by its first part but reported whole.
-JUDGED = 256
+#: A candidate is judged as a whole and in windows of so many characters, STEP apart, so that a key in a long run of
+#: something else is found; it is reported whole if any of them is new.
+PART = 32
+STEP = 8
 #: Share of the bits of a random string that a candidate has to add.
 NOVELTY = 0.8
 
@@ -102,10 +104,21 @@ class Novelty:
 
     def share(self, before: str, candidate: str, after: str) -> float:
         """Bits added, as a share of the bits of a random string over the candidate's kinds of characters."""
-        part = candidate[:JUDGED]
-        around = (before + after).encode()
-        added = len(self.pack.compress(around + b"\n" + part.encode())) - len(self.pack.compress(around + b"\n"))
-        return 8 * added / (len(part) * math.log2(alphabet(part)))
+        around = (before + after).encode() + b"\n"
+        added = len(self.pack.compress(around + candidate.encode())) - len(self.pack.compress(around))
+        return 8 * added / (len(candidate) * math.log2(alphabet(candidate)))
+
+    def new(self, before: str, candidate: str, after: str) -> bool:
+        """Whether the candidate adds as much as a random string would, as a whole or in any of its windows."""
+        if self.share(before, candidate, after) >= NOVELTY:
+            return True
+        for k in range(0, len(candidate) - PART, STEP):
+            part = candidate[k : k + PART]
+            if mixed(part):
+                around = (before + candidate[max(0, k - 256) : k])[-256:], (candidate[k + PART : k + PART + 128] + after)[:128]
+                if self.share(around[0], part, around[1]) >= NOVELTY:
+                    return True
+        return False
 
 
 def alphabet(text: str) -> int:
@@ -153,7 +166,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     plain = blanked(text, sorted([(start, end) for start, (end, _) in met.items()] + [(b, e) for b, _, e in base]))
     found = {}
     for start, (end, behind) in met.items():
-        if novelty.share(plain[max(0, start - 256) : start], text[start:end], plain[behind : behind + 128]) >= NOVELTY:
+        if novelty.new(plain[max(0, start - 256) : start], text[start:end], plain[behind : behind + 128]):
             found[start] = end
     return [(start, 3, end) for start, end in places(text, found, base).items()]
 
@@ -221,7 +234,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
     names = [f.name for f in (*kept, *SCHEMA)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = common.kept("novelty", Novelty)
         for whole in batches:
             _, at = common.buffers(whole.column(text))
             for lo, hi in common.passes(at, 8 << 20):
@@ -248,7 +261,7 @@ def redacted(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
     at_chars = names.index(n_chars) if n_chars in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = common.kept("novelty", Novelty)
         for whole in batches:
             _, at = common.buffers(whole.column(text))
             for lo, hi in common.passes(at, 8 << 20):

@@ -174,6 +174,18 @@ def test_copies_of_a_novel_string():
     assert key not in secrets.redact(text, secrets.novel_spans(text, [], secrets.Novelty()))
 
 
+def test_long_candidates_are_judged_whole():
+    key = "ghp_16C7e42F292c6912E7710c838347Ae178B4a"
+
+    def spans(text):
+        return secrets.named(secrets.novel_spans(text, [], secrets.Novelty()))
+
+    path = "usr/local/lib2/node3/modules/" * 20
+    assert spans(f"the session key {path}{key} here") == f"novel:16:{16 + len(path) + len(key)}"
+    assert spans(f"the session key {path} here") == ""
+    assert spans(f"the session key {path * 30}{key}{path * 30} here") != ""
+
+
 def test_secret_tables(spark):
     long = "plain words " * 20_000 + 'token = "0123abcd"'
     rows = [(1, 'x password: "abcdef1"', "en", "s", 21), (2, None, "en", "s", None), (3, "", "en", "s", 0), (4, long, "en", "s", len(long)), (4, long, "en", "s", len(long))]
