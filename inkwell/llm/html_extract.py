@@ -11,7 +11,9 @@ A best container inside an article or main element gives way to that element, if
 text, and no more text in links than other text.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by tag, role and class names. A header inside the article that has a heading stays.
+left out by tag, role and class names. A header inside the article that has a heading stays, and so
+do paragraphs, headings and the like there, unless named as an advert, promotion or cookie notice. A
+form outside any article that holds an article, or prose and half of the page's text, is a wrapper.
 
 Null or empty html: empty text. A page without any container: the text of its body. Null url: the
 page votes and is judged as of an empty host. Equal votes: the smaller path. Repeated rows: each is
@@ -31,10 +33,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SUPPORT = 0.2
+#: Share of a host's votes that a winning path needs; so a host has 1 / SUPPORT of them at most.
+SUPPORT = 0.05
 AGREE = 0.5
-#: Winning paths kept per host; with SUPPORT there can't be more.
-WINNERS = int(1 / SUPPORT)
+#: Keys over which the pages of a large host are dealt.
+SALTS = 64
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +49,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: What an opening tag ends, and what it doesn't look beyond.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 #: Left out with all that they hold.
-DROP = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe svg canvas object embed dialog menu title noembed noframes datalist audio video map".split())
+DROP = frozenset("head script style noscript template nav footer aside button select option textarea input iframe svg canvas object embed dialog menu title noembed noframes datalist audio video map".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 #: Class and id words of what isn't the article.
 DROP_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising advertorial adsense sponsor sponsored sponsors promo promos
@@ -55,6 +58,9 @@ crumbs cookie cookies consent gdpr notice notices alert alerts notification noti
 subscription signup login share sharing shares social comment comments commentlist respond disqus reply replies discussion
 related recommended recommendation recommendations popular trending pager pagination paginator toolbar widget widgets
 skip banner banners paywall disclaimer copyright tags tagcloud byline-share feedback search searchbox""".split())
+#: Inside an article, elements of prose are left out only by these.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dl dt dd figure figcaption".split())
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos cookie cookies consent gdpr newsletter".split())
 #: Words that mark a page's head only as a whole.
 DROP_NAMES = frozenset("header site-header page-header siteheader pageheader global-header top-header side-bar site-footer page-footer side-column related-posts read-more see-also back-to-top user-comments reader-comments".split())
 GOOD_WORDS = frozenset("article articlebody body content contents entry hentry main mainbody post postbody story text prose".split())
@@ -70,6 +76,7 @@ class Node:
     good: bool = False
     whole: bool = False  # an article or main element, or one in the role of it
     link: bool = False
+    inside: bool = False  # in an element that is whole
     parts: list = field(default_factory=list)  # texts and nodes in order
     text: int = 0  # characters of its own and its inline children's text that are in no link
 
@@ -88,10 +95,10 @@ def words_of(value: str) -> list[str]:
 def generalised(tag: str, attributes: dict[str, str]) -> str:
     """Tag and classes, digits generalised; numbered classes of one kind are one."""
     classes = sorted({re.sub(r"\d+", "0", c) for c in attributes.get("class", "").split()})
-    return ".".join([tag, *classes[:4]])
+    return ".".join([tag, *classes])
 
 
-def left_out(tag: str, attributes: dict[str, str]) -> bool:
+def left_out(tag: str, attributes: dict[str, str], inside: bool = False) -> bool:
     if tag in DROP or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
     if attributes.get("role", "").lower() in DROP_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
@@ -99,6 +106,8 @@ def left_out(tag: str, attributes: dict[str, str]) -> bool:
     if tag in ("html", "body", "main", "article"):
         return False
     names = words_of(attributes.get("class", "")) + words_of(attributes.get("id", ""))
+    if inside and tag in PROSE:
+        return any(n in ADVERT_WORDS for n in names)
     return any(n in DROP_NAMES or n in DROP_WORDS for n in names)
 
 
@@ -107,6 +116,7 @@ def parse(text: str) -> Node:
     root = Node("#root")
     stack: list[tuple[str, Node | None]] = [("#root", root)]  # None: inside something left out
     at = 0
+    seen: set[str] = set()
 
     def add(piece: str) -> None:
         top = stack[-1][1]
@@ -158,6 +168,7 @@ def parse(text: str) -> Node:
                         break
                 elif stack[k][0] in scope:
                     break
+        seen.add(tag)
         parent = stack[-1][1]
         attributes = {a[1].lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(m[4])} if m[4].strip(" /") else {}
         if tag in VOID:
@@ -165,11 +176,13 @@ def parse(text: str) -> Node:
                 parent.parts.append(Node(tag))
             continue
         node = None
-        if parent is not None and not left_out(tag, attributes):
+        inside = parent is not None and (parent.inside or parent.whole)
+        if parent is not None and not (tag == "form" and inside) and not left_out(tag, attributes, inside):
             node = Node(tag, f"{parent.path}>{generalised(tag, attributes)}" if tag not in INLINE else parent.path)
             node.whole = tag in ("article", "main") or (tag in CONTAINERS and (attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody"))
             node.good = node.whole or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody" or any(w in GOOD_WORDS for w in words_of(attributes.get("class", "")) + words_of(attributes.get("id", "")))
             node.link = tag == "a" or parent.link
+            node.inside = inside
             parent.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(text, at)
@@ -177,9 +190,30 @@ def parse(text: str) -> Node:
         if not m[4].endswith("/") or tag not in ("svg", "path"):
             stack.append((tag, node))
     prune_headers(root, False)
+    if any(tag == "form" for tag in seen):
+        prune_forms(root)
     return root
 
 
+def prune_forms(root: Node) -> None:
+    """Leaves out forms, except those that wrap an article, or prose and half of the page's text."""
+    order, pending = [], [root]
+    while pending:
+        one = pending.pop()
+        order.append(one)
+        pending += [c for c in one.parts if not isinstance(c, str)]
+    size: dict[int, int] = {}
+    kinds: dict[int, int] = {}  # 1: has an article or main element, 2: prose
+    for one in reversed(order):
+        inner = [c for c in one.parts if not isinstance(c, str)]
+        size[id(one)] = sum(len(c.strip()) for c in one.parts if isinstance(c, str)) + sum(size[id(c)] for c in inner)
+        kinds[id(one)] = (1 if one.whole else 0) | (2 if one.tag == "p" else 0)
+        for c in inner:
+            kinds[id(one)] |= kinds[id(c)]
+    for one in order:
+        one.parts = [c for c in one.parts if isinstance(c, str) or c.tag != "form" or kinds[id(c)] & 1 or (kinds[id(c)] and 2 * size[id(c)] >= size[id(root)])]
+
+
 def prune_headers(node: Node, inside: bool) -> bool:
     """Leaves out header elements, except those inside an article that have a heading. True if there is a heading."""
     pending = [(node, inside, False)]
@@ -316,12 +350,12 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def winners(found: DataFrame) -> DataFrame:
-    """host and its winning paths, the strongest first. Votes are summed before anything is gathered per host."""
-    by_path = found.where("vote > 0").groupBy("host", "path").agg(F.sum(F.round("vote", 6).cast("decimal(20,6)")).alias("votes"))
-    top = by_path.groupBy("host").agg(F.max("votes").alias("most"))
-    strong = by_path.join(top, "host").where(F.col("votes") >= F.col("most") * SUPPORT)
-    kept = strong.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path"))).alias("all"))
-    return kept.select("host", F.transform("all", lambda s: s["path"]).alias("paths"))
+    """host, its pages and its winning paths, the strongest first. Votes are summed before anything is gathered per host."""
+    by_path = found.groupBy("host", "path").agg(F.sum(F.round("vote", 6).cast("decimal(20,6)")).alias("votes"), F.count("*").alias("pages"))
+    top = by_path.groupBy("host").agg(F.sum("votes").alias("all_votes"), F.sum("pages").alias("n_pages"))
+    strong = by_path.join(top, "host").where((F.col("votes") > 0) & (F.col("votes") >= F.col("all_votes") * SUPPORT))
+    kept = strong.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path"))).alias("all"), F.first("n_pages").alias("n_pages"))
+    return kept.select("host", "n_pages", F.transform("all", lambda s: s["path"]).alias("paths"))
 
 
 def text_by(page: str | None, paths: list[str] | None) -> tuple[str, str]:
@@ -343,7 +377,13 @@ def text_by(page: str | None, paths: list[str] | None) -> tuple[str, str]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and the path used, of every page."""
     by_host = common.cut(winners(votes(pages)), "host-paths")
-    joined = pages.select("page_id", "url", "html", host_of().alias("host")).join(by_host, "host", "left")
+    # pages of a host with many are dealt over several keys, should the paths be too many for a broadcast
+    total = by_host.agg(F.sum("n_pages")).first()[0] or 0
+    salts = F.when(F.col("n_pages") * common.HOT > total, F.lit(SALTS)).otherwise(F.lit(1)).cast("long")
+    large = by_host.where(F.col("n_pages") * common.HOT > total).select("host", F.lit(SALTS).alias("salts"))
+    dealt = pages.select("page_id", "url", "html", host_of().alias("host")).join(F.broadcast(large), "host", "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS))).otherwise(F.lit(0)))
+    joined = dealt.join(by_host.select("host", "paths", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")), ["host", "salt"], "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

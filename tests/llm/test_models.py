@@ -71,6 +71,30 @@ def test_host_paths_decide(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+NO_ARTICLE = [
+    ("<body><form id=aspnetForm action=/x><div class=menu><a href=/>Home</a></div><div id=main><h1>T</h1><p>" + "page text " * 30 + "</p></div><input type=submit></form></body>", "T " + "page text " * 30),
+    ("<body><div id=main><h1>T</h1><p>" + "page text " * 30 + "</p><form class=x><p>Subscribe now</p></form></div></body>", "T " + "page text " * 30),
+    ("<article><p class=feedback>The loop.</p><p class='tags-intro'>Tags are words.</p><p class=ad>Buy</p><div class=feedback><p>Rate us</p></div><form><p>Say it</p></form></article>", "The loop. Tags are words."),
+    ("<body><div class='left col'><a href=/>x</a></div><div class='mid col'><p>" + "words of it " * 20 + "</p></div></body>", "words of it " * 20),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), NO_ARTICLE)
+def test_forms_and_prose(page, text):
+    assert html_extract.text_by(page, None)[0] == text.strip()
+
+
+def test_all_classes_tell_containers_apart():
+    assert html_extract.generalised("div", {"class": "a b c d main"}) != html_extract.generalised("div", {"class": "a b c d side"})
+
+
+def test_winning_paths_are_bounded(spark):
+    """A host with a path for each page has no winner; equal votes go by path."""
+    votes = [("many", f">div.p{chr(97 + i % 26)}{chr(97 + i // 26)}", 1.0) for i in range(300)] + [("two", ">b", 0.5), ("two", ">a", 0.5), ("none", ">a", 0.0)]
+    found = {r["host"]: r["paths"] for r in html_extract.winners(spark.createDataFrame(votes, "host string, path string, vote double")).collect()}
+    assert found == {"two": [">a", ">b"]}
+
+
 @HERE
 def test_pages_of_the_test_tables(spark):
     rows = {r["page_id"]: r["html"] for r in common.table(spark, SF, "pages").collect()}
