@@ -17,6 +17,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -109,6 +110,22 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(table_.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+#: A key with more than this part of all rows is hot; there are fewer such keys than this.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """rows left-joined with found (key, of which each stands once, k: its rows at least, and value) for value.
+
+    Keys of more than a thousandth of all rows, of which there are less than a thousand, are looked
+    up in a broadcast table; so no key's rows have to meet in one task.
+    """
+    hot = found.where(F.col("k") * HOT > total).select(key, F.col("value").alias("hot_value"))
+    near = rows.join(F.broadcast(hot), key, "left")
+    rest = near.where("hot_value is null").drop("hot_value").join(found.select(key, "value"), key, "left")
+    return near.where("hot_value is not null").withColumnRenamed("hot_value", "value").unionByName(rest)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a bijection of 64-bit values."""
     h = h ^ (h >> np.uint64(30))

@@ -20,6 +20,7 @@ texts are searched whole. Extra columns are dropped by overlaps() and kept by cl
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,10 +143,10 @@ SCHEMA = "doc_id long, item_id long, first_token long, n_tokens long, n_equal lo
 
 
 def _pass(docs: DataFrame, seeds: Seeds) -> DataFrame:
-    ids, tokens = seeds.ids, seeds.tokens
+    ids, tokens, name = seeds.ids, seeds.tokens, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Seeds(ids, tokens)
+        own = common.kept(("seeds", name), lambda: Seeds(ids, tokens))
         for batch in batches:
             data, at = common.buffers(batch.column("text"))
             doc = batch.column("doc_id")
@@ -179,10 +180,10 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, seeds: Seeds) -> DataFrame:
-    ids, tokens = seeds.ids, seeds.tokens
+    ids, tokens, name = seeds.ids, seeds.tokens, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Seeds(ids, tokens)
+        own = common.kept(("seeds", name), lambda: Seeds(ids, tokens))
         for batch in batches:
             data, at = common.buffers(batch.column("text"))
             keep = np.ones(len(batch), bool)

@@ -112,6 +112,7 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
     schema = T.StructType([*fields, T.StructField("stats", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("statistics")
         for batch in batches:
             data, at = common.buffers(batch.column(text))
             parts = [statistics(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in common.passes(at)]
@@ -259,6 +260,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows with a score of 0.5 or more, all columns kept; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("statistics")
         for batch in batches:
             data, at = common.buffers(batch.column(text))
             parts = [model.probability(statistics(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])) for lo, hi in common.passes(at)]
