@@ -60,10 +60,12 @@ def environments(docs: DataFrame, names: tuple[str, ...], *keep: str) -> DataFra
     begin, end = (F.concat(F.lit(rf"\\{w}\{{"), F.col("name"), F.lit(r"\}")) for w in ("begin", "end"))
     pieces = F.split("text", F.concat(F.lit("(?="), begin, F.lit(")")))
     d = d.select(*keep, "name", F.concat(F.lit("(?s)"), begin, F.lit("(.*?)"), end).alias("p_"), pieces.alias("pieces"))
-    d = d.select(*keep, "name", "p_", "pieces", F.posexplode("pieces").alias("k", "piece"))
+    ends = F.aggregate(F.transform("pieces", lambda s: F.length(s)), F.array(F.lit(0)), lambda all_, n: F.concat(all_, F.array(F.element_at(all_, -1) + n)))
+    # a row has its own piece and place, not the whole document
+    d = d.select(*keep, "name", "p_", F.explode_outer(F.arrays_zip(F.col("pieces").alias("piece"), F.slice(ends, F.lit(1), F.size("pieces")).alias("off"))).alias("e"))
+    d = d.select(*keep, "name", "p_", "e.piece", "e.off")
     d = d.withColumn("m", F.call_function("regexp_extract", "piece", "p_", F.lit(0))).where("m <> ''").withColumn("inner", F.call_function("regexp_extract", "piece", "p_", F.lit(1)))
-    off = F.aggregate(F.transform(F.slice("pieces", F.lit(1), F.col("k")), lambda s: F.length(s)), F.lit(0), lambda x, y: x + y)
-    out = d.select(*keep, "name", off.alias("off"), "m", "inner").withColumn("end_off", F.col("off") + F.length("m"))
+    out = d.select(*keep, "name", "off", "m", "inner").withColumn("end_off", F.col("off") + F.length("m"))
     lead = F.regexp_extract("inner", r"^((?:\s*\[[^\]]*+\])*+)", 1)
     options = F.regexp_extract_all(lead, F.lit(r"\[([^\]]*)\]"), F.lit(1))
     return out.select(*keep, "name", "off", "end_off", options.alias("options"), tx.strip(F.substr(F.col("inner"), F.length(lead) + 1)).alias("body"))

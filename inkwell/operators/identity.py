@@ -81,14 +81,17 @@ def templated(items: DataFrame, outcomes: DataFrame, known: tuple[str, ...], *ke
 
     items: collection, los_id, text. outcomes: los_id, statement; the first statement of an id counts.
     """
-    d = suffixes(items, n).withColumn("words", tx.words("text"))
-    shared = d.where("suffix is not null").groupBy("collection", "suffix").agg(F.count("*").alias("cluster"))
     stated = outcomes.groupBy("los_id").agg(F.min_by("statement", "ord").alias("statement")).select("los_id", tx.words("statement").alias("wanted"))
-    d = d.join(shared, ["collection", "suffix"], "left").join(stated, "los_id", "left")
+    d = items.withColumn("words", tx.words("text")).drop("text").join(stated, "los_id", "left")
+    # the words end here: what is joined below has only the ending and whether the outcome stands in the text
+    verbatim = (F.size("wanted") >= least_outcome) & tx.contains_run(F.col("words"), F.col("wanted"))
+    d = d.select(*dict.fromkeys((*keep, "collection")), tx.suffix(F.col("words"), n).alias("suffix"), verbatim.alias("verbatim"))
+    shared = d.where("suffix is not null").groupBy("collection", "suffix").agg(F.count("*").alias("cluster")).where(F.col("cluster") >= least)
+    d = d.join(shared, ["collection", "suffix"], "left")
     reasons = F.array_compact(F.array(
         F.when(F.col("suffix").isin(*known), F.lit("known-tail")),
         F.when(F.col("cluster") >= least, F.concat(F.lit("shared-suffix(x"), F.col("cluster").cast("string"), F.lit(")"))),
-        F.when((F.size("wanted") >= least_outcome) & tx.contains_run(F.col("words"), F.col("wanted")), F.lit("verbatim-los")),
+        F.when(F.col("verbatim"), F.lit("verbatim-los")),
     ))
     return d.withColumn("reasons", reasons).where(F.size("reasons") > 0).select(*keep, F.array_join("reasons", ",").alias("reason"))
 
@@ -100,15 +103,20 @@ def reason_tally(found: DataFrame) -> DataFrame:
 
 
 def run_hits(items: DataFrame, runs: DataFrame, n: int = 8) -> DataFrame:
-    """(ord, run_id) where the words of a run stand in an item: the join is on the first n words, so no pairs are made up.
+    """(ord, run_id) where the words of a run stand in an item: the join is on the hash of the first n words, so no pairs are made up.
 
-    items: ord, text; runs: run_id, text. A run of fewer than n words takes no part.
+    items: ord, text; runs: run_id, text. A run of fewer than n words takes no part. Only places and
+    hashes are exploded; the words of the items that have one are taken again for the comparison.
     """
-    r = runs.withColumn("w", tx.words("text")).where(F.size("w") >= n).select("run_id", F.array_join(F.slice("w", 1, n), " ").alias("head"), F.col("w").alias("run"))
-    i = items.withColumn("w", tx.words("text")).where(F.size("w") >= n)
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.array_join(F.slice("w", k, n), " ")))
-    d = i.select("ord", "w", F.explode(heads).alias("head")).join(r, "head")
-    return d.where(tx.contains_run(F.col("w"), F.col("run"))).select("ord", "run_id").distinct()
+    head = lambda w, k: F.xxhash64(F.array_join(F.slice(w, k, n), " "))
+    r = runs.withColumn("w", tx.words("text")).where(F.size("w") >= n).select("run_id", head(F.col("w"), F.lit(1)).alias("head"), F.col("w").alias("run"))
+    i = items.select("ord", tx.words("text").alias("w")).where(F.size("w") >= n)
+    heads = i.select("ord", F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda k: head(F.col("w"), k)).alias("heads"))
+    # outer: else a filter on the array's size is inferred, which takes the words again for each place
+    met = heads.select("ord", F.posexplode_outer("heads").alias("at", "head")).join(r.select("run_id", "head"), "head").select("ord", "at", "run_id")
+    there = items.join(met.select("ord").distinct(), "ord", "left_semi").select("ord", tx.words("text").alias("w"))
+    d = met.join(there, "ord").join(r.select("run_id", "run"), "run_id")
+    return d.where(F.slice("w", F.col("at") + 1, F.size("run")) == F.col("run")).select("ord", "run_id").distinct()
 
 
 def near_fronts(cards: DataFrame, least: int = 85, size: int = 20) -> DataFrame:

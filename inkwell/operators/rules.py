@@ -26,7 +26,9 @@ class Rule:
 def findings(rows: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
     """Columns keep, rule, severity and the rule's place for every rule that holds for a row."""
     made = [F.when(r.condition, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(k).alias("rule_ord"))) for k, r in enumerate(rules)]
-    return rows.select(*keep, F.explode(F.array_compact(F.array(*made))).alias("f")).select(*keep, "f.rule", "f.severity", "f.rule_ord")
+    # outer: else a filter on the number of findings is inferred, for which every rule runs once more
+    found = rows.select(*keep, F.explode_outer(F.array_compact(F.array(*made))).alias("f"))
+    return found.where(F.col("f").isNotNull()).select(*keep, "f.rule", "f.severity", "f.rule_ord")
 
 
 def header(name: str) -> str:
@@ -133,14 +135,15 @@ def presentation_rules(side: str) -> list[Rule]:
     """Rules on how a side of a card is laid out."""
     c = F.col(side)
     return [
-        Rule("run_on_numbered", "P1", c.rlike(r"\S[^\n]*[ \t][1-9]\.\s+[A-Z]")),
-        Rule("run_on_lettered", "P1", c.rlike(r"\S[^\n]*[ \t]\([a-z]\)[ \t]+")),
+        # anchored at a line's first character, so that a line without a match is read once
+        Rule("run_on_numbered", "P1", c.rlike(r"(?md)^[^\S\n]*+\S[^\n]*?[ \t][1-9]\.\s+[A-Z]")),
+        Rule("run_on_lettered", "P1", c.rlike(r"(?md)^[^\S\n]*+\S[^\n]*?[ \t]\([a-z]\)[ \t]+")),
         Rule("run_on_bullets", "P1", _run_on_bullets(side)),
         Rule("inline_sections", "P1", _inline_sections(side)),
         Rule("wall_of_text", "P2", F.exists(tx.paragraphs(side), lambda p: F.length(tx.strip(p)) > 500)),
         Rule("very_long_line", "P2", F.exists(tx.lines(side), lambda p: F.length(tx.strip(p)) > 200)),
         Rule("comma_list", "P2", c.rlike(r"(?:[^,\n]{1,30},){5}")),
-        Rule("semicolon_list", "P3", c.rlike(r"[^;]+;[^;]+;")),
+        Rule("semicolon_list", "P3", c.rlike(r"[^;];[^;]+;")),
     ]
 
 
@@ -151,8 +154,8 @@ def presentation_excluded(*sides: str) -> Column:
 def presentation_findings(cards: DataFrame, *keep: str) -> DataFrame:
     """Findings with their side; cards with code, mathematics or tables on either side are left out."""
     rows = cards.where(~presentation_excluded("front", "back"))
-    parts = [findings(rows, presentation_rules(s), *keep).withColumn("side", F.lit(s)) for s in ("front", "back")]
-    return parts[0].unionByName(parts[1])
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("content")) for s in ("front", "back"))))
+    return findings(rows.select(*keep, sides.alias("s")).select(*keep, "s.side", "s.content"), presentation_rules("content"), *keep, "side")
 
 
 def solution_classes(cards: DataFrame, *keep: str) -> DataFrame:
