@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell import queries_fleet
 from inkwell.functions import clean, fixed
 from inkwell.functions import text as tx
 from inkwell.operators import cards, elements, gates, identity, integrity, rewriting, rules, scoring
@@ -219,7 +220,7 @@ def term_within_duplicates(spark, sf):
 
 @query
 def term_conflicts(spark, sf):
-    return identity.term_conflicts(ad.terms(spark, sf).where("length(name) > 6"))
+    return identity.term_conflicts(ad.terms(spark, sf))
 
 
 # elements
@@ -313,7 +314,7 @@ def untested_los(spark, sf):
 @query
 def registry_vs_disk(spark, sf):
     registry = ad.table(spark, sf, "nation").select(F.col("n_nationkey").alias("slug"))
-    disk = ad.table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select((F.col("s_nationkey") + 2).alias("slug"))
+    disk = ad.table(spark, sf, "supplier").select((F.col("s_nationkey") + 2).alias("slug"))
     return integrity.unregistered(registry, disk)
 
 
@@ -424,7 +425,7 @@ def _page_states(spark, sf):
         F.lit("<b>Last updated "), F.element_at(F.array(*(F.lit(m) for m in ("April", "Juny", "May"))), (n % 3 + 1).cast("int")), F.lit(" 2026</b> Publication in Early 2027 ISBN 9781234567890 "),
         (n % 5 * 100).cast("string"), F.lit(" pages"),
     )
-    return p.select("page_id", "url", F.when(n % 11 == 0, F.lit("<p>nothing</p>")).otherwise(facts).alias("html"))
+    return p.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.when(n % 11 == 0, F.lit("")).otherwise(facts)).alias("html"))
 
 
 @query
@@ -570,3 +571,6 @@ def log_sources(spark, sf):
     line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("(./chapters/c"), (F.col("event_id") % 9).cast("string"), F.lit(".tex"))).when(F.col("event_type") == "error", F.lit("Overfull \\hbox (3pt too wide)")).when(F.col("event_type") == "click", F.lit("LaTeX Warning: Reference `x' undefined")).otherwise(F.lit("ok"))
     d = elements.log_sources(e.withColumn("line", line), "user_id").where("category is not null")
     return d.groupBy(F.coalesce("source", F.lit("none")).alias("source")).pivot("category", ["undefined", "overfull_hbox"]).count().fillna(0)
+
+
+QUERIES.update(queries_fleet.QUERIES)

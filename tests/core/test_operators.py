@@ -327,3 +327,74 @@ def test_cleaning(spark):
     d = spark.createDataFrame([("abcd", "abce"), (None, "x")], "a string, b string")
     assert [r[0] for r in d.select(clean.ratio("a", "b")).collect()] == [0.75, 0.0]
     assert [r[0] for r in d.select(clean.clean_markup("a")).collect()] == ["abcd", None]
+
+
+def test_presentation_patterns_are_linear(spark):
+    """Lines of 200,000 characters without a match, and the same texts accepted as by the plain patterns."""
+    import re
+    import time
+
+    from inkwell.operators import rules
+
+    long = ("a 1 b (x c; " * 17_000).replace(";", ",")
+    texts = ["x 1. Abc", " 1. Abc", "x\n 1. Abc", "x (a) y", "(a) y", "a;b;", ";b;", "a;;", "a; b; c", "x \n y 2.\nZ", "\t x 3.  Q", "q 0. A"]
+    rows = spark.createDataFrame([(k, "f", t) for k, t in enumerate([*texts, long, long + "1. Abc"])], "ord int, front string, back string")
+    began = time.time()
+    found = {(r["ord"], r["rule"]) for r in rules.presentation_findings(rows, "ord").where("side = 'back'").collect()}
+    assert time.time() - began < 60
+    plain = {"run_on_numbered": r"\S[^\n]*[ \t][1-9]\.\s+[A-Z]", "run_on_lettered": r"\S[^\n]*[ \t]\([a-z]\)[ \t]+", "semicolon_list": r"[^;]+;[^;]+;"}
+    for rule, pattern in plain.items():
+        assert {k for k, r in found if r == rule and k < len(texts)} == {k for k, t in enumerate(texts) if re.search(pattern, t)}
+    assert (len(texts), "run_on_numbered") not in found and (len(texts) + 1, "run_on_numbered") in found
+
+
+def test_run_places(spark):
+    """A run is found at any place, once; a head that isn't followed by the rest isn't a hit."""
+    from inkwell.operators import identity
+
+    items = spark.createDataFrame([(1, "xxx aaa bbb ccc ddd eee fff ggg hhh iii jjj"), (2, "aaa bbb ccc ddd eee fff ggg hhh zzz"), (3, "aaa bbb ccc ddd eee fff ggg hhh iii aaa bbb ccc ddd eee fff ggg hhh iii"), (4, None), (5, "a b")], "ord int, text string")
+    runs = spark.createDataFrame([(7, "Aaa bbb ccc, ddd eee fff ggg hhh iii"), (8, "aaa bbb"), (9, None)], "run_id int, text string")
+    assert {tuple(r) for r in identity.run_hits(items, runs).collect()} == {(1, 7), (3, 7)}
+
+
+def test_collection_gates(spark):
+    from inkwell.operators import fleet
+
+    rows = [
+        (1, "guide_qa.yaml", "guide:\nlos:\nmetrics:\nreadiness_checks:"), (1, "Makefile", "include $(TOOLING)/x"), (1, "a-extensions.sty", "\\interviewmargin \\formulamargin"), (1, "cards/all_cards.yml", "x" * 100),
+        (1, "decks/x_complete.apkg", None), (1, "decks/c1.apkg", None), (1, "decks/c2.apkg", None), (1, "review/dashboard.md", "[G]"), (1, "chapters/01_m1_a.tex", None), (1, "chapters/00_x.tex", "x"), (1, "chapters/B_y.tex", "x"),
+        (2, "review/dashboard.md", None), (3, "review/gold_audit_1.md", None),
+    ]
+    files = spark.createDataFrame([(*r, len(r[2] or "")) for r in rows], "collection int, rel_path string, text string, size int")
+    status = {(r["collection"], r["check"]): r["status"] for r in fleet.file_checks(files).collect()}
+    assert {v for (c, _), v in status.items() if c == 1} == {"GREEN"}
+    assert status[2, "dashboard"] == "GREEN" and status[2, "configuration"] == status[3, "decks"] == "RED" and status[2, "portable_paths"] == "GREEN"
+    assert {r["collection"]: r["n_chapters"] for r in fleet.chapter_counts(files).collect()} == {1: 1}
+    settings = spark.createDataFrame([(1, None, None, None, None), (2, "true", "x", "true", ""), (4, "true", " ", None, None)], "collection int, decks_complete_only string, justification string, red_waiver string, red_justification string")
+    mapped = spark.createDataFrame([(1, "m1")], "collection int, module string")
+    decks = {r["collection"]: (r["passed"], r["reason"]) for r in fleet.deck_gate(files, settings, mapped).collect()}
+    assert decks == {1: (True, ""), 2: (False, "no complete deck; empty map"), 4: (False, "no complete deck; empty map; 0/2 decks")}
+    assert [(r["red"], r["passed"], r["reason"]) for r in fleet.dashboard_gate(files, settings).orderBy("collection").collect()] == [(0, True, ""), (0, True, ""), (None, False, "missing")]
+    assert [(r["passed"], r["reason"]) for r in fleet.fidelity_gate(files).collect()] == [(False, "unreadable")]
+    assert [tuple(r) for r in fleet.stub_items(files).collect()] == [(1, 0, 0, 1)]
+    assert fleet.file_checks(files.limit(0)).count() == 0 and fleet.fleet_exit(spark.createDataFrame([], "class string")).first()[0] == 0
+
+
+def test_fields_of_texts(spark):
+    from pyspark.sql import functions as F
+
+    from inkwell.functions import snippets
+
+    def one(c):
+        return spark.range(1).select(c).first()[0]
+
+    assert one(snippets.citation(F.lit("smith_deep2019"))) == "Smith (2019)" and one(snippets.citation(F.lit("rfc"))) == "rfc"
+    assert one(snippets.company_tags(F.lit(r"\companytags{a, b} x \companytags{ c,}"))) == ["a", "b", "c"]
+    assert one(snippets.image_names(F.lit("<img alt='q' src='a.png'><img src=\"b.png\"/> <img src='a.png'>"))) == ["a.png", "b.png"]
+    assert one(snippets.clean_tags(F.array(F.lit(" a b "), F.lit("c::d!"), F.lit("  "), F.lit("a_b")))) == ["a_b", "c::d"]
+    assert [one(c) for c in snippets.volume_chapter(F.lit("vol3_x/chapters/07_intro.tex"))] == ["vol3", "ch07"]
+    assert [one(c) for c in snippets.volume_chapter(F.lit("x.tex"))] == ["vol0", "ch00"]
+    assert one(snippets.velocity(F.lit(" FAST "), F.lit("x"))) == "fast" and one(snippets.velocity(F.lit(None).cast("string"), F.lit("rag-and-search"))) == "fast" and one(snippets.velocity(F.lit("odd"), F.lit("x"))) == "medium"
+    assert one(snippets.outcome_fault(F.lit("PY-1.1"), F.lit("Explain"))) is None and one(snippets.outcome_fault(F.lit(None).cast("string"), F.lit("x"))) == "format"
+    block, body, error = snippets.front_matter(F.lit("---\na: 'x y'\n---\n## H\n"))
+    assert one(snippets.field_of(block, "a")) == "x y" and one(body) == "## H\n" and one(error) is None and one(snippets.code_language(F.lit("plain words"))) is None
