@@ -27,7 +27,7 @@ from .sentencepiece_codec import read_model
 
 #: Trie nodes and counts held at once; either then starts anew. Only speed and memory depend on them.
 NODES = 600_000
-COUNTS = 300_000
+COUNTS = 800_000
 #: Characters of a pre-token that go into the trie; the rest of a longer one is scored with a window of the last positions.
 DEPTH = 64
 
