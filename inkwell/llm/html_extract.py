@@ -352,6 +352,7 @@ def votes(pages: DataFrame) -> DataFrame:
 def winners(found: DataFrame) -> DataFrame:
     """host, its pages and its winning paths, the strongest first. Votes are summed before anything is gathered per host."""
     by_path = found.groupBy("host", "path").agg(F.sum(F.round("vote", 6).cast("decimal(20,6)")).alias("votes"), F.count("*").alias("pages"))
+    by_path = common.cut(by_path, "votes")  # else the pages are parsed for both of its uses
     top = by_path.groupBy("host").agg(F.sum("votes").alias("all_votes"), F.sum("pages").alias("n_pages"))
     strong = by_path.join(top, "host").where((F.col("votes") > 0) & (F.col("votes") >= F.col("all_votes") * SUPPORT))
     kept = strong.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path"))).alias("all"), F.first("n_pages").alias("n_pages"))
