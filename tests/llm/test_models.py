@@ -226,3 +226,58 @@ def overlaps(words, items):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_every_query_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() >= 0
+
+
+@HERE
+def test_pipeline_edges(spark):
+    """Nulls in every column, empty and long texts, repeated rows, clashing extra columns and empty tables go through all stages."""
+    long = "A long text has many words in it, and more. " * 4000
+    rows = [(1, None, None, None, None), (None, "A plain text without an id, of some words.", "en", "s", 42), (2, "", "en", None, 0), (3, long, "en", "s", len(long)), (3, long, "en", "s", len(long)), (4, "éàü 漢字 " * 9, None, "s", 90)]
+    docs = documents(spark, rows).selectExpr("*", "'x' as node", "1 as score", "'y' as ids", "2 as slot")
+    for some in (docs, docs.limit(0)):
+        before = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = common.cut(stage(spark, before, SF), name)
+            assert after.columns == docs.columns and after.count() <= before.count()
+            before = after
+        coded = corpus_pipeline.STAGES[-1][1](spark, before, SF)
+        assert coded.columns == ["doc_id", "lang", "source", "n_pieces", "ids", "round_trip"]
+        assert coded.count() == before.count() and coded.where("not round_trip").count() == 0
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()]
+    assert sorted(k or 0 for k in kept) == [0, 1, 2, 3, 3, 4]
+
+
+def test_quality_weights_against_plain_numpy(spark):
+    """The partition-summed normal equations and the calibration are those of one plain fit over all rows."""
+    rng = np.random.default_rng(5)
+    width = len(quality.STATISTICS)
+    x = rng.normal(size=(240, width))
+    y = (x[:, 0] + 0.3 * rng.normal(size=240) > 0).astype(int)
+    stats = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, stats array<double>").repartition(7)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = quality.fit(stats, labels)
+    fold = np.array([zlib.crc32(str(i).encode()) % 3 for i in range(240)])
+    use = fold != 1
+    assert model.mean == pytest.approx(x[use].mean(0)) and model.scale == pytest.approx(x[use].std(0))
+    z = model.features(x)
+    gram, moment = z[use].T @ z[use], z[use].T @ y[use]
+    assert model.weights == pytest.approx(np.linalg.solve(gram + quality.RIDGE * use.sum() * np.eye(len(gram)) / quality.FEATURES, moment), abs=1e-8)
+    raw = np.zeros(240)
+    for k in (0, 2):
+        own, other = fold == k, fold == 2 - k
+        g, m = z[other].T @ z[other], z[other].T @ y[other]
+        raw[own] = np.clip(z[own] @ np.linalg.solve(g + quality.RIDGE * other.sum() * np.eye(len(g)) / quality.FEATURES, m), *quality.SPAN)
+    bins = np.floor((raw - quality.SPAN[0]) / (quality.SPAN[1] - quality.SPAN[0]) * quality.BINS)
+    points = sorted((b, raw[use & (bins == b)].mean(), y[use & (bins == b)].mean(), (use & (bins == b)).sum()) for b in set(bins[use]))
+    knots = quality.isotonic(*(np.array([p[k] for p in points], float) for k in (1, 2, 3)))
+    assert model.knots[0] == pytest.approx(knots[0], abs=1e-6) and model.knots[1] == pytest.approx(knots[1], abs=1e-6)
+    assert (np.diff(model.probability(x[np.argsort(z @ model.weights)])) >= -1e-12).all()
+
+
+def test_repeated_rows_have_one_language(spark):
+    """Repeated rows and a very long text are predicted alike."""
+    german, french = "der die das und nicht ein haus im garten mit ", "le la les et pas une maison dans le jardin avec "
+    rows = [(i, (german if i % 2 else french) * 3 + str(i), "de" if i % 2 else "fr", None, 1) for i in range(60)] + [(500, german * 5000, None, None, 1), (501, german, None, None, 1), (501, german, None, None, 1)]
+    table = documents(spark, rows)
+    found = [(r["doc_id"], r["lang_pred"]) for r in language_id.predict(table, language_id.fit(table)).collect()]
+    assert len(found) == len(rows) and {p for i, p in found if i >= 500} == {"de"}
