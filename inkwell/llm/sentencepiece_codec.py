@@ -27,7 +27,7 @@ from . import common, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words kept with their ids per worker; only speed depends on it.
-CACHE = 500_000
+CACHE = 300_000
 #: Largest model file that is sent with the tasks.
 MODEL_BYTES = 16 << 20
 
