@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, jaccard_join, language_id, neighbours, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts
+from . import collocations, decontaminate, html_extract, jaccard_join, language_id, license_scan, neighbours, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": html_extract.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_sentencepiece": sentencepiece_codec.query,
     "op10_token_counts": token_counts.query,
+    "op11_license_scan": license_scan.query,
+    "op12_collocations": collocations.query,
+    "op13_whitening": whitening.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_collocations": collocations.ORACLE}
