@@ -20,6 +20,8 @@ rows: each is scanned. Very long texts and candidates are scanned whole. Extra c
 
 from __future__ import annotations
 
+import bisect
+import collections
 import hashlib
 import math
 import re
@@ -50,6 +52,9 @@ NOVEL_LENGTH = 16
 #: something else is found; it is reported whole if any of them is new.
 PART = 32
 STEP = 8
+#: Further candidates of one run, those that begin behind its first sensitive place, are judged as a whole up to this
+#: length; longer ones by the run's windows only.
+WHOLE = 512
 #: Share of the bits of a random string that a candidate has to add.
 NOVELTY = 0.8
 
@@ -108,17 +113,33 @@ class Novelty:
         added = len(self.pack.compress(around + candidate.encode())) - len(self.pack.compress(around))
         return 8 * added / (len(candidate) * math.log2(alphabet(candidate)))
 
-    def new(self, before: str, candidate: str, after: str) -> bool:
-        """Whether the candidate adds as much as a random string would, as a whole or in any of its windows."""
-        if self.share(before, candidate, after) >= NOVELTY:
+    def window(self, before: str, run: str, k: int, after: str) -> bool:
+        """Whether the PART characters of a run from k on add as much as random ones would."""
+        part = run[k : k + PART]
+        if not mixed(part):
+            return False
+        return self.share((before + run[max(0, k - 256) : k])[-256:], part, (run[k + PART : k + PART + 128] + after)[:128]) >= NOVELTY
+
+
+class Run:
+    """A candidate run from its first sensitive place on. Its windows are judged once, whatever the places in it."""
+
+    def __init__(self, novelty: Novelty, before: str, run: str, after: str):
+        self.novelty, self.before, self.run, self.after = novelty, before, run, after
+        self.last: int | None = None
+
+    def last_new(self) -> int:
+        """Where the last window starts that is new; -1 if none is."""
+        if self.last is None:
+            starts = range(0, len(self.run) - PART, STEP)
+            self.last = next((k for k in reversed(starts) if self.novelty.window(self.before, self.run, k, self.after)), -1)
+        return self.last
+
+    def new(self, k: int, before: str) -> bool:
+        """Whether the run from k on is new: as a whole, if it is the first place or no longer than WHOLE, or in any of its windows."""
+        if (not k or len(self.run) - k <= WHOLE) and self.novelty.share(before, self.run[k:], self.after) >= NOVELTY:
             return True
-        for k in range(0, len(candidate) - PART, STEP):
-            part = candidate[k : k + PART]
-            if mixed(part):
-                around = (before + candidate[max(0, k - 256) : k])[-256:], (candidate[k + PART : k + PART + 128] + after)[:128]
-                if self.share(around[0], part, around[1]) >= NOVELTY:
-                    return True
-        return False
+        return self.last_new() >= k if len(self.run) > k + PART else False
 
 
 def alphabet(text: str) -> int:
@@ -149,26 +170,78 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Incompressible candidates in a sensitive context that overlap no base span, and all other places of the same strings."""
-    met: dict[int, tuple[int, int]] = {}
-    for context in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, context.end()):
-            if m.start() > context.end() + WINDOW:
-                break
-            start, end = m.span()
-            while end - start > NOVEL_LENGTH and text[end - 1] in ".=-":
-                end -= 1
-            if start in met or not mixed(text[start:end]) or any(b < end and start < e for b, _, e in base):
-                continue
-            met[start] = end, m.end()
+    contexts = [m.end() for m in CONTEXT.finditer(text)]
+    if not contexts:
+        return []
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    begins = [b for b, _ in runs]
+    covers = merged([(b, e) for b, _, e in base])
+    edges = [b for b, _ in covers]
+    met: dict[int, dict[int, int]] = {}  # by run: starts of its candidates, and their end
+    ready: dict[int, tuple[int, int, int, int]] = {}
+    for at in contexts:
+        r = bisect.bisect_right(begins, at) - 1
+        r = r if r >= 0 and at <= runs[r][1] - NOVEL_LENGTH else r + 1
+        while r < len(runs) and runs[r][0] <= at + WINDOW:
+            begin, behind = runs[r]
+            start = max(begin, at)
+            if start not in met.get(r, ()):
+                if r not in ready:
+                    ready[r] = traits(text, begin, behind)
+                trimmed, digit, letter, turn = ready[r]
+                end = max(trimmed, start + NOVEL_LENGTH)
+                k = bisect.bisect_left(edges, end) - 1
+                if min(digit, letter, turn) >= start and (k < 0 or covers[k][1] <= start):
+                    met.setdefault(r, {})[start] = end
+            r += 1
     if not met:
         return []
     # candidates and base spans tell nothing about how new another candidate is, least of all its own copies
-    plain = blanked(text, sorted([(start, end) for start, (end, _) in met.items()] + [(b, e) for b, _, e in base]))
-    found = {}
-    for start, (end, behind) in met.items():
-        if novelty.new(plain[max(0, start - 256) : start], text[start:end], plain[behind : behind + 128]):
-            found[start] = end
-    return [(start, 3, end) for start, end in places(text, found, base).items()]
+    plain = blanked(text, sorted([span for starts in met.values() for span in starts.items()] + [(b, e) for b, _, e in base]))
+    found, strings = {}, {}
+    for r, starts in met.items():
+        first, behind = min(starts), runs[r][1]
+        after = plain[behind : behind + 128]
+        run = Run(novelty, plain[max(0, first - 256) : first], text[first : starts[first]], after)
+        for start in sorted(starts):
+            if starts[start] != starts[first]:  # so near the run's end that nothing is trimmed
+                new = Run(novelty, "", text[start : starts[start]], after).new(0, plain[max(0, start - 256) : start])
+            else:
+                new = run.new(start - first, plain[max(0, start - 256) : start])
+            if new:
+                found[start] = starts[start]
+                # of the strings that end with a run, the longest and the short ones are looked for elsewhere
+                if starts[start] - start <= WHOLE or not any(first <= s < start for s in strings):
+                    strings[start] = starts[start]
+    return [(start, 3, end) for start, end in places(text, found, strings, base).items()]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(spans):
+        if out and b <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((b, e))
+    return out
+
+
+TURN = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])")
+
+
+def traits(text: str, begin: int, end: int) -> tuple[int, int, int, int]:
+    """Of a run: its end without marks, and the last starts with a digit, a letter and three turns behind them (-1: none)."""
+    trimmed = end
+    while trimmed > begin and text[trimmed - 1] in ".=-":
+        trimmed -= 1
+    digit = letter = -1
+    for m in re.finditer("[0-9]+", text[begin:trimmed]):
+        digit = begin + m.end() - 1
+    for m in re.finditer("[A-Za-z]+", text[begin:trimmed]):
+        letter = begin + m.end() - 1
+    turns = collections.deque((m.start() for m in TURN.finditer(text[begin:trimmed])), maxlen=3)
+    return trimmed, digit, letter, begin + turns[0] - 1 if len(turns) == 3 else -1
 
 
 def blanked(text: str, spans: list[tuple[int, int]]) -> str:
@@ -181,12 +254,12 @@ def blanked(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def places(text: str, found: dict[int, int], base: list[tuple[int, int, int]]) -> dict[int, int]:
-    """found (start and end) and every other place of its strings that isn't wholly inside another span."""
+def places(text: str, found: dict[int, int], looked_for: dict[int, int], base: list[tuple[int, int, int]]) -> dict[int, int]:
+    """found (start and end) and every other place of the strings looked for that isn't wholly inside another span."""
     if not found:
         return found
     by_head: dict[str, set[str]] = {}
-    for start, end in found.items():
+    for start, end in looked_for.items():
         by_head.setdefault(text[start : start + NOVEL_LENGTH], set()).add(text[start:end])
     longest = {head: sorted(strings, key=len, reverse=True) for head, strings in by_head.items()}
     covered = sorted([(b, e) for b, _, e in base] + list(found.items()))

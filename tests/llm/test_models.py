@@ -281,3 +281,37 @@ def test_repeated_rows_have_one_language(spark):
     table = documents(spark, rows)
     found = [(r["doc_id"], r["lang_pred"]) for r in language_id.predict(table, language_id.fit(table)).collect()]
     assert len(found) == len(rows) and {p for i, p in found if i >= 500} == {"de"}
+
+
+PARTS_KEPT = [
+    ("<article><p>x</p><section id=discussion><p>We find it.</p></section></article>", "x We find it."),
+    ("<article><p>x</p><div id=discussion><h2>4. Discussion</h2><p>We find it.</p></div><div class=discussion><p>Reader says</p></div></article>", "x 4. Discussion We find it."),
+    ("<article><p>x</p><div class='social-history'><p>Long ago.</p></div><div class='social-icons'>share it</div></article>", "x Long ago."),
+    ("<article><p>x</p><table class='widget-prices'><tr><td>2<td>3</table><div class='widget-x'><a href=/>links only</a></div></article>", "x 2 3"),
+    ("<body><div class=content><div class=intro><p>intro</p></div><div class=rest><p>" + "the rest " * 40 + "</p></div></div><div class=box>box</div></body>", "intro " + "the rest " * 40),
+    ("<body><div class=content-wrapper><div class=left><p>side</p></div><div class=rest><p>" + "the rest " * 40 + "</p></div></div></body>", "the rest " * 40),
+    ("<p>a <b title=\"x > y\">b</b> <i title='>'>c</i> d", "a b c d"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PARTS_KEPT)
+def test_parts_of_articles_stay(page, text):
+    assert html_extract.text_by(page, None)[0] == text.strip()
+
+
+UNTIDY = ["<div class=part-inner>" * 45_000 + "x", "<i>x</b>" * 125_000, "<i>" * 100_000 + "<hr>" * 100_000, '<a y=">" ' * 110_000 + '="', "<table>" + "<tr><td>" * 60_000, "<li><b>" * 75_000, "<form>" * 80_000]
+
+
+@pytest.mark.parametrize("page", UNTIDY)
+def test_deep_and_untidy_pages_take_linear_time_and_memory(page):
+    import time
+    import tracemalloc
+
+    began = time.time()
+    html_extract.text_by(page, None)
+    whole = time.time() - began
+    tracemalloc.start()
+    html_extract.text_by(page[: len(page) // 4], None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole < 30 and peak < 1000 * len(page) // 4

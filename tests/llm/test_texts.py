@@ -229,3 +229,22 @@ def test_a_worker_keeps_one_thing():
     assert common.kept("one", list) is first
     common.kept("two", list)
     assert common.kept("one", list) is not first
+
+
+def test_runs_with_many_sensitive_words_take_linear_time():
+    import time
+
+    novelty = secrets.Novelty()
+    for text in ("key=a1B2c3D4" * 40_000, "key=" + "a1" * 250_000, "key=a1B2c3D4.e5F6g7H8i9 " * 20_000):
+        began = time.time()
+        spans = secrets.novel_spans(text, [], novelty)
+        assert time.time() - began < 30 and all(text[b:e] for b, _, e in spans)
+
+
+def test_each_place_in_a_run_refers_to_its_windows():
+    novelty = secrets.Novelty()
+    key = "q7Zr2Lk9Xv4Tn8Bw3Jd6"
+    text = f"the session_key={key} here"
+    assert secrets.novel_spans(text, [], novelty) == [(text.index(key), 3, text.index(key) + len(key))]
+    run = f"key=aaaa.bbbb.cccc.dddd.eeee.ffff.gggg.hhhh.key={key}{key[::-1]}"
+    assert {(b, e) for b, _, e in secrets.novel_spans(run, [], novelty)} >= {(run.rindex("key=") + 4, len(run))}
