@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell import queries_fleet
+from inkwell import queries_fleet, queries_structure
 from inkwell.functions import fixed
 from inkwell.operators.cards import KINDS, SCAFFOLDING
 from inkwell.sources.adapters import TYPES
@@ -397,3 +397,4 @@ l AS (SELECT *, last_value(opened IGNORE NULLS) OVER (PARTITION BY user_id ORDER
 SELECT coalesce(src, 'none') AS source, count(*) FILTER (cat = 'u') AS undefined, count(*) FILTER (cat = 'o') AS overfull_hbox FROM l WHERE cat IS NOT NULL GROUP BY 1"""
 
 ORACLES.update(queries_fleet.ORACLES)
+ORACLES.update(queries_structure.ORACLES)

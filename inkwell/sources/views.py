@@ -62,6 +62,61 @@ SELECT p_size AS collection, p_partkey AS note_id, CASE WHEN p_partkey % 7 = 0 T
 LABELS = """SELECT p_size AS collection, 'p:' || CAST(p_partkey AS STRING) AS label FROM {part} WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_size, 'p:' || CAST(p_partkey % 40 AS STRING) FROM {part}"""
 
 
+_P = "CAST(p_partkey AS STRING)"
+_NL = "chr(10)"
+
+
+def either(*cases: tuple[str, str], other: str = "''") -> str:
+    """SQL text that is of the first condition that holds."""
+    return "CASE " + " ".join(f"WHEN {when} THEN {then}" for when, then in cases) + f" ELSE {other} END"
+
+
+def joined(*parts: str) -> str:
+    return " || ".join(parts)
+
+
+def item(*parts: str) -> str:
+    return joined("chr(92) || 'item'", *parts)
+
+
+_DEEP = joined(begin("itemize"), item("' inner one '"), begin("enumerate"), item("' deep '"), begin("itemize"), item("' deepest ' || p_type"), macro("end", "'itemize'"), item("' deep again'"), macro("end", "'enumerate'"), item("' inner two '"), macro("end", "'itemize'"))
+_BOX_BODY = joined(
+    begin("enumerate"), "'[label=a]'", _NL,
+    item("'[ABC-1.' || CAST(p_size AS STRING) || '] explain ' || p_name || ' '", either(("p_partkey % 3 = 0", macro("checkpointanswer", joined("'as '", macro("textbf", "p_brand"), "' says'"))), ("p_partkey % 3 = 1", "'" + "'")), _NL),
+    either(("p_partkey % 4 <> 1", joined(item("' list the parts of ' || p_type || ' '"), _DEEP, "' and say why'", _NL))),
+    either(("p_partkey % 4 = 0", item("' short'"))),
+    item("' when does ' || p_brand || ' hold? '", either(("p_partkey % 5 = 2", joined("chr(92) || 'hfill'", macro("textit", "'(XY-2.' || CAST(p_partkey % 7 AS STRING) || ')'"))))),
+    macro("end", "'enumerate'"), "chr(92) || 'medskip and more '",
+    either(("p_partkey % 6 = 1", joined(begin("enumerate"), item("' a sibling list asks for ' || p_name"), macro("end", "'enumerate'")))),
+    either(("p_partkey % 2 = 0", joined(macro("textbf", "'Answers:'"), begin("enumerate"), item("' first answer ' || p_brand"), item("'[ABC-1.' || CAST(p_size AS STRING) || '] second '", _DEEP), item("'[NEW-3.1] third'"), macro("end", "'enumerate'")))),
+)
+BOXES = f"""
+SELECT p_partkey AS doc, 'Ch' || CAST(p_size AS STRING) AS chapter, {joined(
+    "'Text before. '", item("' outside any box'"), either(("p_partkey % 3 = 1", joined(begin("tcolorbox"), "'[checkpointbox, title=' || chr(123) || 'Check ' || p_brand || chr(125) || ']' || chr(10)", either(("p_partkey % 11 = 3", joined(begin("tcolorbox"), "'an aside'", macro("end", "'tcolorbox'")))))), other=begin("checkpointbox")),
+    _BOX_BODY,
+    either(("p_partkey % 13 = 6", "'never closed '"), ("p_partkey % 3 = 1", macro("end", "'tcolorbox'")), other=macro("end", "'checkpointbox'")),
+    "' between '", item("' not in a box'"),
+    either(("p_partkey % 6 = 5", joined(begin("checkpointbox"), item("' a box without a list environment ' || p_name"), macro("end", "'checkpointbox'")))),
+)} AS text FROM {{part}} WHERE p_partkey % 17 <> 0
+UNION ALL SELECT p_partkey, 'Ch0', CASE WHEN p_partkey % 34 = 0 THEN NULL ELSE '' END FROM {{part}} WHERE p_partkey % 17 = 0
+"""
+
+_SOLUTION = joined(begin("solution"), "' solved by ' || p_brand || ' '", macro("end", "'solution'"))
+_CASE = joined(
+    begin("vignette"), either(("p_partkey % 3 <> 0", "'[Case ' || p_name || ']'")), either(("p_partkey % 3 = 1", "'[ABC-1.' || CAST(p_size AS STRING) || ', ABC-2.1]'")), "' A plant makes ' || p_type || '. '",
+    either(("p_partkey % 5 = 0", joined(macro("textbf", "'Discussion Questions:'"), "' What now? '")), ("p_partkey % 5 = 1", joined(macro("textit", "'Questions:'"), "' One. '", macro("textbf", "'Question 1:'"), "' Two. '")), ("p_partkey % 5 = 2", joined(macro("textbf", "'Question'"), "' Why?'"))),
+    either(("p_partkey % 7 = 3", begin("vignette") + " || ' opened within '")),
+)
+CASES = f"""
+SELECT p_partkey AS doc, 'Ch' || CAST(p_size AS STRING) AS chapter, {joined(
+    "'Start. '", either(("p_partkey % 4 = 0", _SOLUTION)), _CASE, either(("p_partkey % 19 = 5", "' not closed '"), other=macro("end", "'vignette'")),
+    either(("p_partkey % 8 = 1", begin("problem") + " || ' another task '"), ("p_partkey % 8 = 2", "repeat('far away ', 2700)"), ("p_partkey % 8 = 3", "repeat('near by ', 3100)"), ("p_partkey % 8 = 4", begin("problembox")), other="' then '"),
+    either(("p_partkey % 9 = 4", begin("solution") + " || ' never closed'"), other=_SOLUTION), "' between '",
+    either(("p_partkey % 2 = 0", joined(_CASE, macro("end", "'vignette'"), either(("p_partkey % 6 = 0", _SOLUTION))))),
+)} AS text FROM {{part}} WHERE p_partkey % 17 <> 0
+"""
+
+
 def view(spark: SparkSession, sf: str, sql: str, name: str) -> DataFrame:
     """The rows of one of these views; name: the table that it is over."""
     return spark.sql(sql, **{name: ad.table(spark, sf, name)})
