@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import fixed
-from inkwell.operators import structure
+from inkwell import queries_fleet
+from inkwell.operators import currency, fleet, scoring, structure
 from inkwell.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,69 @@ SELECT doc, off, COALESCE(title, 'Case Study') AS title, los_id, 'Case Study: '
  CASE WHEN place IS NULL THEN body ELSE substr(body, place + 1) END || CASE WHEN solution IS NULL THEN '' ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**Answer Rubric:**' || chr(10) || solution END AS back, solution IS NOT NULL AS has_solution FROM z""")
 def vignettes(spark, sf):
     return structure.vignettes(views.view(spark, sf, views.CASES, "part"), "doc")
+
+
+# the currency gate, and gates of collections as they are
+
+NOW = "2026-08"
+_APPENDICES = "appendices AS (" + views.APPENDICES.format(supplier="supplier") + ")"
+
+
+def _n(text: str, *patterns: str) -> str:
+    return " + ".join(f"len(regexp_extract_all({text}, {_q(p)}))" for p in patterns)
+
+
+def _uncited(spans: str) -> str:
+    return f"len(list_filter({spans}, lambda x: {_n('x', *fixed.CITATIONS)} < 1))"
+
+
+_CURRENCY = rf"""{_APPENDICES},
+a AS (SELECT *, array_to_string(list_filter(string_split(changes, chr(10)), lambda x: NOT ({' OR '.join(f"contains(x, '{s}')" for s in fixed.SCAFFOLD_SIGNATURES)})), chr(10)) AS body FROM appendices),
+b AS (SELECT *, regexp_replace(body, '(?m)(^|[^\\])%.*$', '\1', 'g') AS live, greatest({_n("body", fixed.LIST_ITEM)}, {_n("body", fixed.SUBSECTION)}) AS n, regexp_replace(debates, '(?m)(^|[^\\])%.*$', '\1', 'g') AS open,
+ CASE WHEN TRY_CAST(regexp_extract(changes, {_q(fixed.AS_OF_NUMBER)}, 2) AS INT) BETWEEN 1 AND 12 THEN CAST(regexp_extract(changes, {_q(fixed.AS_OF_NUMBER)}, 1) AS INT) * 12 + CAST(regexp_extract(changes, {_q(fixed.AS_OF_NUMBER)}, 2) AS INT)
+ WHEN regexp_matches(changes, {_q(fixed.AS_OF_WORD)}) THEN CAST(regexp_extract(changes, {_q(fixed.AS_OF_WORD)}, 2) AS INT) * 12 + NULLIF(CAST(ceil(instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr(regexp_extract(changes, {_q(fixed.AS_OF_WORD)}, 1), 1, 3))) / 3.0) AS INT), 0) END AS stamp FROM a),
+c AS (SELECT *, (string_split(regexp_replace(regexp_replace(live, '(?is)^\s*.section.?\{{[^}}]*still hold.*$|\n\s*.section.?\{{[^}}]*still hold.*$', ''), '(?m)({fixed.SUBSECTION.removeprefix("(?m)")})', chr(1) || '\1', 'g'), chr(1)))[2:] AS subs,
+ (string_split(regexp_replace(regexp_replace(live, '(?is)\n\s*.section.?\{{[^}}]*still hold.*$', ''), '({fixed.LIST_ITEM})', chr(1) || '\1', 'g'), chr(1)))[2:] AS points,
+ list_filter(string_split(regexp_replace(open, '(?i)(.textbf\{{\s*Position\s+[A-Z]\b|.textbf\{{[^}}]*?where\s+(?:this|the)\s+book\s+sits)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_matches(x, '(?i)^.textbf\{{\s*Position\s+[A-Z]\b')) AS positions,
+ {2026 * 12 + 8} - stamp AS age, CASE velocity WHEN 'fast' THEN 6 WHEN 'medium' THEN 12 ELSE 18 END AS most, {_n("debates", fixed.BOOK_ANCHOR)} AS nd, {_n("open", *fixed.CITATIONS)} AS cites, lower(trim(COALESCE(debates_waiver, ''))) = 'true' AND trim(debates_justification) <> '' AS waived FROM b),
+d AS (SELECT *, CASE WHEN len(subs) > 0 THEN subs ELSE points END AS items FROM c),
+e AS (SELECT collection, waived, CASE WHEN changes IS NULL THEN '{fixed.CURRENCY_FILE} missing' ELSE concat_ws('; ', CASE WHEN regexp_matches(body, {_q(fixed.NO_CHANGES_YET)}) AND n < 3 THEN 'E is a stub (no-changes-yet placeholder)' END,
+ CASE WHEN age IS NULL THEN 'E has no ''current as of YYYY-MM'' date' WHEN age > most THEN 'E age ' || age || 'mo > ' || velocity || ' SLA ' || most || 'mo' WHEN age < 0 THEN 'E date is in the future' END, CASE WHEN n < 3 THEN '<3 currency items' END,
+ CASE WHEN NOT regexp_matches(body, {_q(fixed.STILL_HOLDS)}) THEN 'no ''what still holds'' section' END, CASE WHEN {_uncited("items")} > 0 THEN {_uncited("items")} || '/' || len(items) || ' items uncited' END,
+ CASE WHEN starts_with(version, 'v') AND NOT regexp_matches(body, '\b' || split_part(version, ' ', 1) || '\b') THEN 'E does not name MEAP version (' || split_part(version, ' ', 1) || ')' END) END AS e,
+ CASE WHEN waived THEN '' WHEN debates IS NULL THEN '{fixed.DEBATE_FILE} missing' ELSE concat_ws('; ', CASE WHEN nd < 3 THEN '<3 debates (' || nd || ')' END, CASE WHEN {_n("debates", fixed.VERDICT)} < 3 THEN 'missing verdict flags (well-supported/contested/dated)' END,
+ CASE WHEN cites < greatest(6, 2 * nd) THEN '<' || greatest(6, 2 * nd) || ' resolvable citations (' || cites || ')' END, CASE WHEN {_uncited("positions")} > 0 THEN {_uncited("positions")} || '/' || len(positions) || ' Positions uncited' END) END AS f FROM d),
+g7 AS (SELECT collection, e = '' AND f = '' AS passed, CASE WHEN e = '' AND f = '' THEN 'E ok; F ' || CASE WHEN waived THEN 'waived' ELSE 'ok' END ELSE 'E: ' || CASE WHEN e = '' THEN 'ok' ELSE e END || ' | F: ' || CASE WHEN f <> '' THEN f WHEN waived THEN 'waived' ELSE 'ok' END END AS detail FROM e)"""
+
+
+@query(f"WITH {_CURRENCY} SELECT * FROM g7")
+def currency_gate(spark, sf):
+    return currency.currency_gate(views.view(spark, sf, views.APPENDICES, "supplier"), NOW)
+
+
+def _as_cte(name: str) -> str:
+    """A gate's own SQL; a nested WITH keeps its names to itself."""
+    return f"{name} AS ({queries_fleet.ORACLES[name]})"
+
+
+_REAL = f"""{_as_cte("deck_gate")}, {_as_cte("dashboard_gate")}, {_as_cte("fidelity_gate")}, {_CURRENCY}, every AS (SELECT s_suppkey AS collection FROM supplier),
+rows_ AS (SELECT collection, 'G3' AS gate, passed, reason FROM deck_gate UNION ALL SELECT collection, 'G5', passed, reason FROM fidelity_gate UNION ALL SELECT collection, 'G6', passed, reason FROM dashboard_gate UNION ALL SELECT collection, 'G7', passed, detail FROM g7),
+real AS (SELECT collection, names.gate, COALESCE(passed, false) AS passed, COALESCE(reason, 'missing') AS reason FROM every CROSS JOIN (VALUES ('G3'), ('G5'), ('G6'), ('G7')) names(gate) LEFT JOIN rows_ USING (collection, gate))"""
+
+
+def _real_gates(spark, sf):
+    files, settings = queries_fleet._files(spark, sf), queries_fleet._settings(spark, sf)
+    decks = fleet.deck_gate(files, settings, queries_fleet._mapped(spark, sf))
+    return currency.collection_gates(decks, fleet.dashboard_gate(files, settings), fleet.fidelity_gate(files), currency_gate(spark, sf), settings.select("collection"))
+
+
+@query(f"WITH {_REAL} SELECT * FROM real")
+def collection_gates(spark, sf):
+    return _real_gates(spark, sf)
+
+
+@query(f"""WITH {_REAL}, classed AS (SELECT collection, bool_and(passed) AS a, bool_and(passed OR gate = 'G5') AS o, max(reason) FILTER (gate = 'G5') AS r, min(gate) FILTER (NOT passed) AS first_failing FROM real GROUP BY 1)
+SELECT collection, CASE WHEN a THEN 'PASS' WHEN o AND r = 'missing' THEN 'GOLD-ELIGIBLE' WHEN o THEN 'SCAFFOLD-ONLY' ELSE 'FAIL' END AS class, first_failing FROM classed""")
+def collection_gate_classes(spark, sf):
+    gates = _real_gates(spark, sf)
+    return scoring.gate_class(gates).join(scoring.first_failing(gates), "collection")

@@ -117,6 +117,32 @@ SELECT p_partkey AS doc, 'Ch' || CAST(p_size AS STRING) AS chapter, {joined(
 """
 
 
+_CITE = either(("i <> 1 OR s_suppkey % 4 <> 2", macro("parencite", "'k' || CAST(i AS STRING)")), ("s_suppkey % 8 = 2", "chr(37) || ' ' || " + macro("cite", "'only in a comment'")))
+
+
+def _repeated(template: str, places: str = "01234") -> str:
+    return joined(*("(" + template.replace(_I, f"'{i}'").replace(" i ", f" {i} ").replace("(i ", f"({i} ").replace("WHEN i ", f"WHEN {i} ") + ")" for i in places))
+
+
+_ITEM = joined(macro("subsection*", "'[Official] part ' || " + _I), "chr(10) || 'Prose. '", _CITE, _NL)
+_DEBATE = joined(
+    macro("section", "'Debate ' || " + _I), "chr(10)", "chr(92) || 'textbf' || chr(123) || 'Position A (' || " + _I + " || '): one side.' || chr(125) || ' Argument '", macro("parencite", "'a' || " + _I),
+    "' ' || chr(92) || 'textbf' || chr(123) || ' position B: other side.' || chr(125) || ' Argument '", either(("i <> 2 OR s_suppkey % 3 <> 1", "'https://x.org/' || " + _I)),
+    "chr(10) || chr(92) || 'textbf' || chr(123) || 'Where the book sits.' || chr(125) || ' Somewhere '", either(("s_suppkey % 5 = 1", macro("cite", "'w'"))), "' Verdict: ' || CASE WHEN i = 1 THEN 'well-supported' ELSE 'contested' END || chr(10)",
+)
+APPENDICES = f"""
+SELECT s_suppkey AS collection, CASE WHEN s_suppkey % 12 <> 7 THEN {joined(
+    macro("chapter", "'Post-Course Updates'"), "chr(10)", either(("s_suppkey % 9 = 0", "'undated'"), ("s_suppkey % 9 = 1", "'As of Sept. 2025.'"), ("s_suppkey % 9 = 2", "'current as of 2026-13, as of June 2026'"), ("s_suppkey % 9 = 3", "'as of 2027-01'"), other="'Current as of 2026-0' || CAST(s_suppkey % 7 + 1 AS STRING)"), "'. names where the book sits' || chr(10)",
+    either(("s_suppkey % 11 = 4", "'No significant changes identified yet' || chr(10)"), ("s_suppkey % 11 = 5", joined(begin("itemize"), "chr(10)", _repeated(joined("' ' || chr(92) || 'item one ' || " + _I, "chr(10)"), "012"), macro("end", "'itemize'"), "chr(10)")), other=_repeated(_ITEM, "012")),
+    either(("s_suppkey % 10 <> 8", joined(macro("section", "'What Still Holds'"), "chr(10)", macro("subsection*", "'Core ideas'"), "chr(10) || 'Stable material v' || CAST(s_suppkey % 5 AS STRING)"))), either(("s_suppkey % 7 = 3", "chr(10) || 'Subsequent revisions may deepen ' || " + macro("cite", "'template'"))),
+)} END AS changes,
+ CASE WHEN s_suppkey % 14 <> 9 THEN {joined("'Each debate names where the book sits. '", _repeated(_DEBATE, "01"), either(("s_suppkey % 6 <> 4", _repeated(_DEBATE, "2"))))} END AS debates,
+ CASE s_suppkey % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'medium' ELSE 'slow' END AS velocity, CASE WHEN s_suppkey % 4 = 1 THEN 'v' || CAST(s_suppkey % 10 AS STRING) || ' (seen)' WHEN s_suppkey % 4 = 2 THEN 'TBV' END AS version,
+ CASE WHEN s_suppkey % 6 = 4 AND s_suppkey % 4 = 0 THEN 'true' END AS debates_waiver, CASE WHEN s_suppkey % 24 = 4 THEN 'a reason' ELSE ' ' END AS debates_justification
+FROM {{supplier}}
+"""
+
+
 def view(spark: SparkSession, sf: str, sql: str, name: str) -> DataFrame:
     """The rows of one of these views; name: the table that it is over."""
     return spark.sql(sql, **{name: ad.table(spark, sf, name)})
