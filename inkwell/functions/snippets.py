@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from inkwell.functions import fixed
 from inkwell.functions.text import col
 
+MARK = "\x01"
+
 
 def code_language(c: Column | str) -> Column:
     """Language of a listing by the first rule that holds; null for prose, drawings and empty texts."""
@@ -16,7 +18,7 @@ def code_language(c: Column | str) -> Column:
     for language, patterns in fixed.LANGUAGE_RULES:
         holds = F.lit(True)
         for p in patterns:
-            holds = holds & text.rlike(p)
+            holds = holds & (text.rlike(p) if isinstance(p, str) else in_one_line(text, *p))
         out = out.when(holds, language)
     keys = F.regexp_count(text, F.lit(r"(?m)^[a-zA-Z_][\w-]*\s*:\s*\S"))
     out = out.when((keys >= 3) & ~text.rlike(r"\bdef\s+\w+\("), "yaml")
@@ -25,6 +27,13 @@ def code_language(c: Column | str) -> Column:
     return out
 
 
+def in_one_line(text: Column, head: str, rest: str) -> Column:
+    """Whether some line has a match of head with one of rest behind it; white space in head may span lines. Linear time."""
+    joined = F.regexp_replace(text, head, MARK)
+    lines = F.split(joined, "[\n\r\u0085\u2028\u2029]")
+    return F.contains(joined, F.lit(MARK)) & F.exists(lines, lambda x: F.regexp_extract(x, f"{MARK}(.*)$", 1).rlike(rest))
+
+
 def section_headers(c: Column | str) -> Column:
     """Distinct second-level headings, in order."""
     return F.array_distinct(F.regexp_extract_all(col(c), F.lit(r"(?m)^##\s+(.+?)\s*$"), F.lit(1)))

@@ -148,7 +148,10 @@ def presentation_rules(side: str) -> list[Rule]:
 
 
 def presentation_excluded(*sides: str) -> Column:
-    return tx.any_of(*(F.coalesce(F.col(s).rlike(p), F.lit(False)) for s in sides for p in fixed.PRESENTATION_EXCLUDED))
+    listed = [F.col(s).rlike(p) for s in sides for p in fixed.PRESENTATION_EXCLUDED[:-1]]
+    # a match of the last pattern exists just if what is behind the first verb has the second word
+    statements = [F.regexp_extract(s, fixed.STATEMENT[0], 1).rlike(fixed.STATEMENT[1]) for s in sides]
+    return tx.any_of(*(F.coalesce(c, F.lit(False)) for c in listed + statements))
 
 
 def presentation_findings(cards: DataFrame, *keep: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions import fixed
+from inkwell.functions import fixed, scanning
 from inkwell import queries_fleet
 from inkwell.operators import currency, fleet, scoring, structure
 from inkwell.sources import views
@@ -167,3 +167,49 @@ SELECT collection, CASE WHEN a THEN 'PASS' WHEN o AND r = 'missing' THEN 'GOLD-E
 def collection_gate_classes(spark, sf):
     gates = _real_gates(spark, sf)
     return scoring.gate_class(gates).join(scoring.first_failing(gates), "collection")
+
+
+# scans that keep places
+
+_PROTECTED = "texts AS (" + views.PROTECTED.format(part="part") + ")"
+
+
+def _blank(c: str, pattern: str) -> str:
+    """SQL of blanked(), with escaped dollars taken out before and no lookbehind."""
+    p = _q(pattern.replace(r"(?<!\\)", ""))
+    return f"array_to_string(list_transform(list_zip(string_split_regex({c}, {p}), regexp_extract_all({c}, {p})), lambda z: z[1] || COALESCE(repeat(' ', length(z[2])), '')), '')"
+
+
+_STEPS = "w0 AS (SELECT doc, replace(text, chr(92) || '$', chr(2) || chr(3)) AS c FROM texts)"
+for _k, _p in enumerate((*fixed.PROTECTED, "</?[A-Za-z][^<>]*>|<!--.*?-->")):
+    _STEPS += f", w{_k + 1} AS (SELECT doc, {_blank('c', _p)} AS c FROM w{_k})"
+
+
+@query(f"WITH {_PROTECTED}, {_STEPS}, m AS (SELECT doc, unnest(string_split(c, '')) AS mark, generate_subscripts(string_split(c, ''), 1) AS place FROM w{len(fixed.PROTECTED) + 1}) SELECT doc, CAST(place AS BIGINT) AS place, mark FROM m WHERE mark IN ('<', '>')")
+def stray_angle_marks(spark, sf):
+    return scanning.stray_angles(views.view(spark, sf, views.PROTECTED, "part"), "text", "doc")
+
+
+def _nested(plain: str, levels: int) -> str:
+    inner = f"(?:{plain})*"
+    for _ in range(levels):
+        inner = rf"(?:{plain}|\{{{inner}\}})*"
+    return inner
+
+
+@query(f"WITH {_PROTECTED} SELECT doc, regexp_replace(regexp_replace(margins, {_q(fixed.MARGIN_OPENING + _nested(chr(92) * 2 + '.|[^{}' + chr(92) * 2 + ']', 3) + chr(92) + '}')}, '', 'g'), {_q(fixed.MARGIN_OPENING)}, '', 'g') AS rest FROM texts")
+def margins_removed(spark, sf):
+    return views.view(spark, sf, views.PROTECTED, "part").select("doc", scanning.without_margins("margins").alias("rest"))
+
+
+@query(rf"""WITH ledgers AS ({views.LEDGERS.format(part="part")}), {_pieces("ledgers", fixed.ENTRY_OPENING, "p")},
+h AS (SELECT p.*, regexp_matches(regexp_extract(substr(l.text, 1, CAST(off AS BIGINT)), '[^\n]*$'), '(^|[^\\])%') AS hidden FROM p JOIN ledgers l USING (doc)),
+e AS (SELECT doc, k, lower(regexp_extract(piece, '^@(\w+)', 1)) AS kind, trim(regexp_extract(piece, '^@\w+\{{([^,\n]+),', 1)) AS key, regexp_extract(piece, {_q(r"^@\w+\{" + _nested("[^{}]", 4) + r"\}")}) AS whole, piece FROM h WHERE NOT hidden AND k > 1)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY k) AS no, kind, key, regexp_replace(CASE WHEN whole <> '' THEN whole ELSE piece END, '\s+$', '') AS entry, whole <> '' AS closed FROM e""")
+def reference_entries(spark, sf):
+    return scanning.reference_entries(views.view(spark, sf, views.LEDGERS, "part"), "doc")
+
+
+@query(None)
+def command_refusals(spark, sf):
+    return views.view(spark, sf, views.COMMANDS, "orders").select("doc", "command", scanning.command_refusal("command").alias("refusal"))

@@ -143,6 +143,32 @@ FROM {{supplier}}
 """
 
 
+_TICK, _BS = "chr(96)", "chr(92)"
+_LB, _RB = "chr(123)", "chr(125)"
+PROTECTED = f"""
+SELECT p_partkey AS doc, {joined(
+    "'If a < b then ' || p_name", either(("p_partkey % 3 = 0", "' <b>bold</b> and 3 > 2'")), either(("p_partkey % 4 = 1", joined("' code '", _TICK, "'x < y && y > z'", _TICK, "' < after'"))),
+    either(("p_partkey % 5 = 2", joined("' maths $p < q$ and ' || chr(92) || '$5 < 6 ' || chr(92) || '(r > s' || chr(92) || ') end >'"))), either(("p_partkey % 6 = 3", joined(_NL, _TICK, _TICK, _TICK, "'sql' || chr(10) || 'a < b > c' || chr(10)", _TICK, _TICK, _TICK, "chr(10) || '<<'"))),
+    either(("p_partkey % 7 = 1", "' $$t <' || chr(10) || ' u$$ ' || chr(92) || '[v < w' || chr(92) || '] > ' || p_brand")), either(("p_partkey % 8 = 5", "' open $n < m'")), either(("p_partkey % 9 = 4", "'<!-- a > b -->'")),
+)} AS text,
+ {joined(
+    "p_name || ' '", macro("patternmargin", joined("'one '", macro("textbf", macro("emph", "p_brand")), "' ' || chr(92) || chr(125) || ' more'")), "' kept '",
+    either(("p_partkey % 3 = 1", joined(_BS, "'warningmargin '", _LB, "' never closed '", macro("formulamargin", "'inner'"), "' 1) a 2) b'"))), either(("p_partkey % 4 = 2", joined(macro("crossrefmargin", "p_type"), macro("interviewmargin", "'x'")))), "' ' || p_type", either(("p_partkey % 5 = 3", macro("margin", "'stays'"))),
+)} AS margins FROM {{part}}
+"""
+LEDGERS = f"""
+SELECT p_partkey AS doc, 'x' AS chapter, {joined(
+    "'Reference list' || chr(10)", "'@book' || chr(123) || ' key' || CAST(p_partkey AS STRING) || ',' || chr(10) || ' title = '", _LB, "p_name", _LB, "' nested '", _LB, "'deep'", _RB, _RB, "' x'", _RB, "',' || chr(10) || ' note = '", _LB, "'a' || chr(10)", _RB, "chr(10)", either(("p_partkey % 3 <> 1", _RB)), "chr(10)",
+    either(("p_partkey % 4 = 1", joined("chr(37) || ' old @misc'", _LB, "'gone, x'", _RB, "' @misc'", _LB, "'gone too,'", _RB, "chr(10)"))), either(("p_partkey % 4 = 2", joined("'5 ' || chr(92) || chr(37) || ' @Article'", _LB, "'kept,t=1'", _RB))),
+    "chr(10) || '@online'", _LB, "'on' || CAST(p_size AS STRING) || ', url='", _LB, "'http://x'", _RB, either(("p_partkey % 5 = 4", "' no end'"), other=_RB), "'  ' || chr(10)", either(("p_partkey % 6 = 5", joined("'@misc'", _LB, "'in one line,'", _RB, "'@misc'", _LB, "'second, a='", _LB, "'@inner'", _LB, "'cut,'", _RB, _RB, _RB))),
+)} AS text FROM {{part}}
+"""
+COMMANDS = """
+SELECT o_orderkey AS doc, CASE o_orderkey % 12 WHEN 0 THEN 'grep -c x f' WHEN 1 THEN 'grep x f | wc -l' WHEN 2 THEN 'PYTHONPATH=../t python3 -m a.b 2>/dev/null | awk "/x/"' WHEN 3 THEN 'perl -e 1' WHEN 4 THEN 'echo "$HOME"' WHEN 5 THEN 'make -C g pilot; test -f main.pdf'
+ WHEN 6 THEN 'PATH=. grep x' WHEN 7 THEN 'echo a > b' WHEN 8 THEN 'grep x f || echo 0' WHEN 9 THEN 'grep "open' WHEN 10 THEN '' ELSE 'echo a & b' END || CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' ; echo ' || o_orderpriority ELSE ' | ' || lower(o_orderstatus) END AS command FROM {orders}
+"""
+
+
 def view(spark: SparkSession, sf: str, sql: str, name: str) -> DataFrame:
     """The rows of one of these views; name: the table that it is over."""
     return spark.sql(sql, **{name: ad.table(spark, sf, name)})
