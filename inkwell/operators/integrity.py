@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions import fixed
+from inkwell.functions import text as tx
+
 
 def undefined(refs: DataFrame, labels: DataFrame, key: str = "label") -> DataFrame:
     """References whose label nothing defines."""
@@ -69,3 +72,43 @@ def include_status(includes: DataFrame, files: DataFrame) -> DataFrame:
     g = d.groupBy("doc").agg(F.count("target").alias("n_includes"), F.array_sort(F.collect_list(problem)).alias("problems"))
     text = F.concat_ws("; ", F.slice("problems", 1, 3), F.when(F.size("problems") > 3, F.concat(F.lit("(+"), (F.size("problems") - 3).cast("string"), F.lit(" more)"))))
     return g.select("doc", "n_includes", F.when(F.size("problems") > 0, "RED").when(F.col("n_includes") == 0, "YELLOW").otherwise("GREEN").alias("status"), text.alias("detail"))
+
+
+#: Sizes of the windows that lines are indexed by; a needle is looked up by its beginning of the largest size that it has.
+WINDOWS = (8, 3, 1)
+
+
+def first_lines_with(lines: DataFrame, needles: DataFrame) -> DataFrame:
+    """id and line_no of the first line of its document that contains a needle; needles that no line contains have no row.
+
+    lines: source, line_no, line. needles: id, source, needle (not empty). An inverted index of the lines' windows
+    is joined with the needles' beginnings, then the hits are checked against the lines, so that no needle
+    meets lines that don't hold its beginning.
+    """
+    sized = F.coalesce(*(F.when(F.length("needle") >= w, F.substring("needle", 1, w)) for w in WINDOWS))
+    wanted = needles.select("id", "source", "needle", sized.alias("window"))
+
+    def windows(w: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length("line") - (w - 1), F.lit(1)))
+        return F.when(F.length("line") >= w, F.transform(places, lambda p: F.substr(F.col("line"), p, F.lit(w)))).otherwise(F.array().cast("array<string>"))
+
+    index = lines.select("source", "line_no", "line", F.explode(F.array_distinct(F.concat(*(windows(w) for w in WINDOWS)))).alias("window"))
+    hits = index.join(wanted, ["source", "window"]).where(F.contains("line", "needle"))
+    return hits.groupBy("id").agg(F.min("line_no").alias("line_no"))
+
+
+def source_lines(findings: DataFrame, lines: DataFrame, shown: int = 120) -> DataFrame:
+    """id, line_no and excerpt of where a finding's card stands in its source; 0 and empty if nowhere.
+
+    findings: id, source, card_id, front. The first line with the front's first 30 characters and a card's macro
+    counts, else the first that has the last part of the card's id, case and underscores apart.
+    """
+    front = tx.strip(F.substring(F.coalesce("front", F.lit("")), 1, 30))
+    macro = tx.any_of(*(F.contains("line", F.lit("\\" + m)) for m in fixed.CARD_MACROS))
+    by_front = first_lines_with(lines.where(macro), findings.select("id", "source", front.alias("needle")).where("needle <> ''"))
+    tail = F.when(F.contains("card_id", F.lit("-")), F.lower(F.replace(F.substring_index("card_id", "-", -1), F.lit("_"), F.lit(" ")))).otherwise("")
+    rest = findings.join(by_front.select("id"), "id", "left_anti").select("id", "source", tail.alias("needle")).where("needle <> ''")
+    by_tail = first_lines_with(lines.withColumn("line", F.lower("line")), rest)
+    found = findings.select("id", "source").join(by_front.unionByName(by_tail), "id", "left")
+    out = found.join(lines.select("source", "line_no", F.substring(tx.strip("line"), 1, shown).alias("excerpt")), ["source", "line_no"], "left")
+    return out.select("id", F.coalesce("line_no", F.lit(0)).cast("long").alias("line_no"), F.coalesce("excerpt", F.lit("")).alias("excerpt"))

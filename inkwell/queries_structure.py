@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed, scanning
 from inkwell import queries_fleet
-from inkwell.operators import currency, fleet, scoring, structure
+from inkwell.operators import currency, fleet, integrity, scoring, structure
 from inkwell.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,14 @@ def reference_entries(spark, sf):
 @query(None)
 def command_refusals(spark, sf):
     return views.view(spark, sf, views.COMMANDS, "orders").select("doc", "command", scanning.command_refusal("command").alias("refusal"))
+
+
+_MACROS = " OR ".join(f"contains(line, chr(92) || '{m}')" for m in fixed.CARD_MACROS)
+
+
+@query(f"""WITH sources AS ({views.SOURCES.format(part="part")}), f AS ({views.FINDINGS.format(part="part")}),
+n AS (SELECT *, {_STRIP.format("substr(COALESCE(front, ''), 1, 30)")} AS head, CASE WHEN contains(card_id, '-') THEN lower(replace(regexp_extract(card_id, '[^-]*$'), '_', ' ')) ELSE '' END AS tail FROM f),
+h AS (SELECT id, n.source, COALESCE((SELECT min(line_no) FROM sources s WHERE s.source = n.source AND head <> '' AND contains(line, head) AND ({_MACROS})), (SELECT min(line_no) FROM sources s WHERE s.source = n.source AND tail <> '' AND contains(lower(line), tail))) AS line_no FROM n)
+SELECT id, CAST(COALESCE(h.line_no, 0) AS BIGINT) AS line_no, COALESCE(substr({_STRIP.format("line")}, 1, 120), '') AS excerpt FROM h LEFT JOIN sources s ON s.source = h.source AND s.line_no = h.line_no""")
+def finding_source_lines(spark, sf):
+    return integrity.source_lines(views.view(spark, sf, views.FINDINGS, "part"), views.view(spark, sf, views.SOURCES, "part"))

@@ -169,6 +169,15 @@ SELECT o_orderkey AS doc, CASE o_orderkey % 12 WHEN 0 THEN 'grep -c x f' WHEN 1
 """
 
 
+SOURCES = f"""
+SELECT p_size AS source, p_partkey AS line_no, {joined("'  '", either(("p_partkey % 4 = 0", macro("term", "'L'", "p_name || ' of ' || p_brand || ' and ' || p_type")), ("p_partkey % 4 = 1", "p_name || ' of ' || p_brand || ' and ' || p_type"), ("p_partkey % 4 = 2", "'prose on ' || upper(p_type) || ' ' || p_name"), other=macro("redflag", "p_brand")), "' '")} AS line FROM {{part}}
+"""
+FINDINGS = """
+SELECT p_partkey AS id, p_size AS source, CASE p_partkey % 5 WHEN 0 THEN 'noid' WHEN 1 THEN 'x-TERM-' || lower(p_type) ELSE 'x-TERM-' || replace(p_name, ' ', '_') END AS card_id,
+ CASE p_partkey % 6 WHEN 0 THEN p_name || ' of ' || p_brand || ' and ' || p_type || ' and much more behind it' WHEN 1 THEN p_brand WHEN 2 THEN 'zz' WHEN 3 THEN '' WHEN 4 THEN ' ' || substr(p_brand, 1, 2) || ' ' END AS front FROM {part}
+"""
+
+
 def view(spark: SparkSession, sf: str, sql: str, name: str) -> DataFrame:
     """The rows of one of these views; name: the table that it is over."""
     return spark.sql(sql, **{name: ad.table(spark, sf, name)})
