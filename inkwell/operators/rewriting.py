@@ -6,11 +6,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
+from pyspark.sql.window import Window
 
+from inkwell.functions import snippets
 from inkwell.functions import text as tx
+from inkwell.operators.structure import tokens
 
 LINE = 200
 FRAGMENT = 20
@@ -78,3 +81,32 @@ def truncated(text: str | None, most: int) -> str | None:
             return head[: at + 1]
     at = head.rfind(" ")
     return head[:at] + "..." if at > 0.8 * most else head[: most - 3] + "..."
+
+
+def typed_listings(docs: DataFrame, *keep: str) -> DataFrame:
+    r"""keep, text, converted and untyped: documents whose verbatim blocks of a known language are listings of that language.
+
+    The text is cut at the blocks' beginnings and ends, a block's own pieces get their new opening and closing, and
+    the pieces are put together again, so that all edits of a document are one pass. A block reaches from the first
+    opening to the next closing; one without closing stays. A second run changes nothing. Null stays null.
+    """
+    d = tokens(docs, r"\\begin\{verbatim\}|\\end\{verbatim\}", *keep)
+    opens, ends = (F.startswith("piece", F.lit(f"\\{w}{{verbatim}}")) for w in ("begin", "end"))
+    doc = Window.partitionBy(*keep).orderBy("k")
+    d = d.withColumn("opens", opens).withColumn("ends", ends)
+    d = d.withColumn("round", F.coalesce(F.sum(F.col("ends").cast("int")).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    block = Window.partitionBy(*keep, "round")
+    d = d.withColumn("first", F.min(F.when(F.col("opens"), F.col("k"))).over(block)).withColumn("closed", F.bool_or("ends").over(block) & F.col("first").isNotNull())
+    inside = F.col("closed") & (F.col("k") >= F.col("first")) & ~F.col("ends")
+    pieces = F.sort_array(F.collect_list(F.when(inside, F.struct("k", "piece"))).over(block))
+    body = F.substring(F.array_join(F.transform(pieces, lambda p: p["piece"]), ""), len("\\begin{verbatim}") + 1, 1 << 30)
+    d = d.withColumn("language", F.when(F.col("closed"), snippets.code_language(body)))
+    at_first, at_end = F.col("closed") & (F.col("k") == F.col("first")), F.col("closed") & F.col("ends")
+    known = F.col("language").isNotNull()
+    opening = F.concat(F.lit("\\begin{minted}{"), "language", F.lit("}"), F.substring("piece", len("\\begin{verbatim}") + 1, 1 << 30))
+    closing = F.concat(F.lit("\\end{minted}"), F.substring("piece", len("\\end{verbatim}") + 1, 1 << 30))
+    d = d.withColumn("piece", F.when(known & at_first, opening).when(known & at_end, closing).otherwise(F.col("piece")))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "piece"))), lambda p: p["piece"]), "")
+    made = d.groupBy(*keep).agg(whole.alias("text"), F.count_if(known & at_first).alias("converted"), F.count_if(~known & at_first).alias("untyped"))
+    rest = docs.where("text is null or text = ''").select(*keep, "text", F.lit(0).cast("long").alias("converted"), F.lit(0).cast("long").alias("untyped"))
+    return made.unionByName(rest)

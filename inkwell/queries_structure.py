@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed, scanning
 from inkwell import queries_fleet
-from inkwell.operators import currency, fleet, integrity, scoring, structure
+from inkwell.operators import currency, fleet, integrity, rewriting, scoring, structure
 from inkwell.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,15 @@ h AS (SELECT id, n.source, COALESCE((SELECT min(line_no) FROM sources s WHERE s.
 SELECT id, CAST(COALESCE(h.line_no, 0) AS BIGINT) AS line_no, COALESCE(substr({_STRIP.format("line")}, 1, 120), '') AS excerpt FROM h LEFT JOIN sources s ON s.source = h.source AND s.line_no = h.line_no""")
 def finding_source_lines(spark, sf):
     return integrity.source_lines(views.view(spark, sf, views.FINDINGS, "part"), views.view(spark, sf, views.SOURCES, "part"))
+
+
+_LANGUAGE = queries_fleet.ORACLES["code_languages"]
+_LANGUAGE = _LANGUAGE[_LANGUAGE.index("CASE WHEN trim(listing)") : _LANGUAGE.index(" AS language FROM t")]
+
+
+@query(rf"""WITH listed AS ({views.LISTED.format(part="part")}), m AS (SELECT doc, regexp_extract_all(text, '(?s).begin.verbatim.(.*?).end.verbatim.', 1) AS bodies, string_split_regex(text, '(?s).begin.verbatim..*?.end.verbatim.') AS rest FROM listed),
+b AS (SELECT doc, unnest(bodies) AS listing, generate_subscripts(bodies, 1) AS k FROM m), l AS (SELECT doc, k, listing AS body, ({_LANGUAGE}) AS language FROM b),
+j AS (SELECT doc, list(CASE WHEN language IS NULL THEN chr(92) || 'begin{{verbatim}}' || body || chr(92) || 'end{{verbatim}}' ELSE chr(92) || 'begin{{minted}}{{' || language || '}}' || body || chr(92) || 'end{{minted}}' END ORDER BY k) AS new, count(language) AS converted, count(*) - count(language) AS untyped FROM l GROUP BY doc)
+SELECT m.doc, array_to_string(list_transform(list_zip(rest, COALESCE(new, [])), lambda z: z[1] || COALESCE(z[2], '')), '') AS text, COALESCE(converted, 0) AS converted, COALESCE(untyped, 0) AS untyped FROM m LEFT JOIN j USING (doc)""")
+def listings_typed(spark, sf):
+    return rewriting.typed_listings(views.view(spark, sf, views.LISTED, "part"), "doc")

@@ -178,6 +178,15 @@ SELECT p_partkey AS id, p_size AS source, CASE p_partkey % 5 WHEN 0 THEN 'noid'
 """
 
 
+_VERBATIM = (begin("verbatim"), macro("end", "'verbatim'"))
+LISTED = f"""
+SELECT p_partkey AS doc, 'x' AS chapter, {joined(
+    "'Text '", _VERBATIM[0], either(("p_partkey % 5 = 0", "chr(10) || 'def f():' || chr(10) || ' return 1' || chr(10)"), ("p_partkey % 5 = 1", "'select a from ' || p_name || ' where x'"), ("p_partkey % 5 = 2", "' plain words '"), ("p_partkey % 5 = 3", "chr(10) || '$ ls -l' || chr(10)"), other="''"), either(("p_partkey % 7 <> 4", _VERBATIM[1])), "' between '",
+    either(("p_partkey % 3 = 0", joined(_VERBATIM[0], either(("p_partkey % 9 = 0", _VERBATIM[0])), "'import ' || p_brand", _VERBATIM[1], _VERBATIM[1]))), "' end '", either(("p_partkey % 4 = 2", joined(_VERBATIM[0], "'lambda open'"))),
+)} AS text FROM {{part}}
+"""
+
+
 def view(spark: SparkSession, sf: str, sql: str, name: str) -> DataFrame:
     """The rows of one of these views; name: the table that it is over."""
     return spark.sql(sql, **{name: ad.table(spark, sf, name)})

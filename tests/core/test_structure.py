@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkwell.functions import fixed, scanning, snippets
-from inkwell.operators import currency, rules, structure
+from inkwell.operators import currency, integrity, rewriting, rules, structure
 
 BOX = r"""\item out \begin{checkpointbox}
 \begin{enumerate}
@@ -185,3 +185,21 @@ def test_patterns_take_linear_time(spark):
     small = spark.createDataFrame([("MATCH (a)-[:R]->(b)",), ("MATCH\n (a)\n-[:R]->",), ("x)-[:R]-> MATCH q",), ("select a\nfrom b",), ("select from",), ("see Ch. ~\\ref{x}",)], "text string")
     rows = small.select(snippets.code_language("text").alias("b"), rules.presentation_excluded("text").alias("c"), F.col("text").rlike(fixed.CHAPTER_REFERENCE).alias("a")).collect()
     assert [r.b == "cypher" for r in rows] == [True, True, False, False, False, False] and [r.c for r in rows] == [False, False, False, True, False, False] and rows[5].a
+
+
+def test_source_lines(spark):
+    lines = spark.createDataFrame([("s", 1, "prose on Alpha Beta"), ("s", 2, r"  \term{L}{Alpha Beta and a name that goes on and on}"), ("s", 3, r"\redflag{ab}"), ("t", 1, r"\term{Alpha Beta}"), ("s", 4, "has gamma ray"), ("s", 5, None), ("s", 6, "")], "source string, line_no long, line string")
+    rows = [(1, "s", "x-TERM-NONE", "Alpha Beta and a name that goes elsewhere"), (2, "s", "x-TERM-GAMMA_RAY", "nowhere"), (3, "s", "noid", "nowhere"), (4, "s", None, "ab"), (5, "t", "a-b", "Alpha Beta"), (6, "u", "x-a", "Alpha"), (7, "s", "x-", None), (8, "s", "q-Z", " b ")]
+    d = spark.createDataFrame(rows, "id long, source string, card_id string, front string")
+    found = {r.id: (r.line_no, r.excerpt) for r in integrity.source_lines(d, lines).collect()}
+    assert found == {1: (2, r"\term{L}{Alpha Beta and a name that goes on and on}"), 2: (4, "has gamma ray"), 3: (0, ""), 4: (3, r"\redflag{ab}"), 5: (1, r"\term{Alpha Beta}"), 6: (0, ""), 7: (0, ""), 8: (3, r"\redflag{ab}")}
+
+
+def test_typed_listings_once(spark):
+    code, prose = "\\begin{verbatim}\nimport x\n\\end{verbatim}", "\\begin{verbatim}plain words\\end{verbatim}"
+    d = texts(spark, f"a {code} b {prose} c {code}", prose + "\\begin{verbatim}import open", None, "", "\\end{verbatim} " + code)
+    once = rewriting.typed_listings(d, "doc", "chapter")
+    typed = code.replace("begin{verbatim}", "begin{minted}{python}").replace("end{verbatim}", "end{minted}")
+    assert [tuple(r)[2:] for r in once.orderBy("doc").collect()] == [(f"a {typed} b {prose} c {typed}", 2, 1), (prose + "\\begin{verbatim}import open", 0, 1), (None, 0, 0), ("", 0, 0), ("\\end{verbatim} " + typed, 1, 0)]
+    again = rewriting.typed_listings(once.select("doc", "chapter", "text"), "doc", "chapter")
+    assert {(r.doc, r.text) for r in again.collect()} == {(r.doc, r.text) for r in once.collect()} and again.agg(F.sum("converted")).first()[0] == 0
