@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,3 +111,58 @@ def typed_listings(docs: DataFrame, *keep: str) -> DataFrame:
     made = d.groupBy(*keep).agg(whole.alias("text"), F.count_if(known & at_first).alias("converted"), F.count_if(~known & at_first).alias("untyped"))
     rest = docs.where("text is null or text = ''").select(*keep, "text", F.lit(0).cast("long").alias("converted"), F.lit(0).cast("long").alias("untyped"))
     return made.unionByName(rest)
+
+
+@dataclass(frozen=True)
+class Setting:
+    """A line of a settings file that is to read anew: key, four blanks in, of a section, there of an entry or with a certain word.
+
+    {log} in value stands for the log that the line names, or main.log.
+    """
+
+    section: str
+    key: str
+    value: str
+    entry: str | None = None
+    word: str | None = None
+
+
+def rewritten_settings(files: DataFrame, settings: tuple[Setting, ...], *keep: str) -> DataFrame:
+    """keep, text and changed: settings files (text) whose lines of these settings have their values, in double quotes.
+
+    The section and entry that a line belongs to are carried over the lines before it. Other lines stay
+    to the letter, and a second run changes nothing. Null and empty texts stay.
+    """
+    d = files.where("text is not null").select(*keep, F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    doc = Window.partitionBy(*keep).orderBy("k")
+    top = F.nullif(F.regexp_extract("line", r"^([A-Za-z][\w-]*):", 1), F.lit(""))
+    d = d.withColumn("section", F.last(top, ignorenulls=True).over(doc)).withColumn("part", F.count(top).over(doc))
+    entry = F.nullif(F.regexp_extract("line", r"^  ([A-Za-z_]+):\s*$", 1), F.lit(""))
+    d = d.withColumn("entry", F.last(entry, ignorenulls=True).over(Window.partitionBy(*keep, "part").orderBy("k")))
+    log = F.concat(F.lit("guide/"), F.coalesce(F.nullif(F.regexp_extract("line", r"main(?:_digital)?\.log", 0), F.lit("")), F.lit("main.log")))
+    new = F.col("line")
+    for s in reversed(settings):
+        mine = (F.col("section") == s.section) & F.startswith("line", F.lit(f"    {s.key}:"))
+        if s.entry is not None:
+            mine = mine & (F.col("entry") == s.entry)
+        if s.word is not None:
+            mine = mine & F.contains("line", F.lit(s.word))
+        quoted = s.value.replace("\\", "\\\\").replace('"', '\\"')
+        new = F.when(mine, F.concat(F.lit(f'    {s.key}: "'), F.replace(F.lit(quoted), F.lit("{log}"), log), F.lit('"'))).otherwise(new)
+    d = d.withColumn("new", new)
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "new"))), lambda p: p["new"]), "\n")
+    made = d.groupBy(*keep).agg(whole.alias("text"), F.bool_or(F.col("new") != F.col("line")).alias("changed"))
+    return made.unionByName(files.where("text is null").select(*keep, "text", F.lit(False).alias("changed")))
+
+
+def setting_values(files: DataFrame, *keep: str) -> DataFrame:
+    """keep, section, entry, key and value of every quoted setting, read back: what a rewriting is verified by."""
+    d = files.select(*keep, F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    doc = Window.partitionBy(*keep).orderBy("k")
+    top = F.nullif(F.regexp_extract("line", r"^([A-Za-z][\w-]*):", 1), F.lit(""))
+    d = d.withColumn("section", F.last(top, ignorenulls=True).over(doc)).withColumn("part", F.count(top).over(doc))
+    entry = F.nullif(F.regexp_extract("line", r"^  ([A-Za-z_]+):\s*$", 1), F.lit(""))
+    d = d.withColumn("entry", F.last(entry, ignorenulls=True).over(Window.partitionBy(*keep, "part").orderBy("k")))
+    pattern = r'^    (\w+): "((?:\\.|[^"\\])*+)"\s*$'
+    value = F.regexp_replace(F.regexp_extract("line", pattern, 2), r"\\(.)", "$1")
+    return d.where(F.col("line").rlike(pattern)).select(*keep, "k", "section", "entry", F.regexp_extract("line", pattern, 1).alias("key"), value.alias("value"))

@@ -236,3 +236,28 @@ j AS (SELECT doc, list(CASE WHEN language IS NULL THEN chr(92) || 'begin{{verbat
 SELECT m.doc, array_to_string(list_transform(list_zip(rest, COALESCE(new, [])), lambda z: z[1] || COALESCE(z[2], '')), '') AS text, COALESCE(converted, 0) AS converted, COALESCE(untyped, 0) AS untyped FROM m LEFT JOIN j USING (doc)""")
 def listings_typed(spark, sf):
     return rewriting.typed_listings(views.view(spark, sf, views.LISTED, "part"), "doc")
+
+
+_SETTINGS_WANTED = (
+    rewriting.Setting("metrics", "check_cmd", 'pages "guide/main.pdf" \\d+', entry="page_count"),
+    rewriting.Setting("metrics", "check_cmd", "warnings {log} --json", entry="latex_overflow_visible"),
+    rewriting.Setting("readiness_checks", "cmd", "refs chapters/*.tex", word="check_refs"),
+    rewriting.Setting("readiness_checks", "cmd", "warnings {log} --red 5", word="check_latex_warnings"),
+)
+_LOG = "'guide/' || COALESCE(NULLIF(regexp_extract(line, 'main(?:_digital)?\\.log'), ''), 'main.log')"
+
+
+def _setting(s: rewriting.Setting) -> str:
+    quoted = s.value.replace("\\", "\\\\").replace('"', '\\"')
+    more = f" AND entry = '{s.entry}'" if s.entry else f" AND contains(line, '{s.word}')"
+    return f"WHEN section = '{s.section}' AND starts_with(line, '    {s.key}:'){more} THEN '    {s.key}: \"' || replace('{quoted}', '{{log}}', {_LOG}) || '\"'"
+
+
+@query(rf"""WITH f AS ({views.SETTING_FILES.format(supplier="supplier")}), l AS (SELECT doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM f WHERE text IS NOT NULL),
+t AS (SELECT *, NULLIF(regexp_extract(line, '^([A-Za-z][\w-]*):', 1), '') AS top, NULLIF(regexp_extract(line, '^  ([A-Za-z_]+):\s*$', 1), '') AS sub FROM l),
+s AS (SELECT *, (SELECT arg_max(u.top, u.k) FROM t u WHERE u.doc = t.doc AND u.k <= t.k AND u.top IS NOT NULL) AS section, (SELECT max(u.k) FROM t u WHERE u.doc = t.doc AND u.k <= t.k AND u.top IS NOT NULL) AS since FROM t),
+e AS (SELECT *, (SELECT arg_max(u.sub, u.k) FROM t u WHERE u.doc = s.doc AND u.k <= s.k AND u.k >= s.since AND u.sub IS NOT NULL) AS entry FROM s),
+n AS (SELECT doc, k, line, CASE {' '.join(_setting(s) for s in _SETTINGS_WANTED)} ELSE line END AS new FROM e)
+SELECT f.doc, any_value(f.text) IS NOT NULL AND COALESCE(bool_or(new <> line), false) AS changed, string_agg(new, chr(10) ORDER BY k) AS text FROM f LEFT JOIN n USING (doc) GROUP BY f.doc""")
+def settings_rewritten(spark, sf):
+    return rewriting.rewritten_settings(views.view(spark, sf, views.SETTING_FILES, "supplier"), _SETTINGS_WANTED, "doc")

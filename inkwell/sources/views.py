@@ -187,6 +187,19 @@ SELECT p_partkey AS doc, 'x' AS chapter, {joined(
 """
 
 
+def line(*parts: str) -> str:
+    return joined(*parts, "chr(10)")
+
+
+SETTING_FILES = f"""
+SELECT s_suppkey AS doc, CASE WHEN s_suppkey % 13 <> 0 THEN {joined(
+    line("'guide: ' || s_name"), line("'    check_cmd: outside'"), line("'metrics:'"), line("'  page_count:'"), line("'    check_cmd: mdls ' || s_name"), line("'    target: 5'"),
+    either(("s_suppkey % 3 <> 0", joined(line("'  latex_overflow_visible: '"), line("'    check_cmd: ' || chr(34) || 'old main_digital.log' || chr(34)")))), line("'  other:'"), line("'    check_cmd: x'"),
+    either(("s_suppkey % 2 = 0", joined(line("'readiness_checks:'"), line("'  - name: a'"), line("'    cmd: scripts/check_refs.py'"), line("'    cmd: check_latex_warnings ' || CASE WHEN s_suppkey % 4 = 0 THEN 'guide/main.log' ELSE '' END"), line("'   cmd: check_refs'")))), "'tail: check_cmd'",
+)} END AS text FROM {{supplier}}
+"""
+
+
 def view(spark: SparkSession, sf: str, sql: str, name: str) -> DataFrame:
     """The rows of one of these views; name: the table that it is over."""
     return spark.sql(sql, **{name: ad.table(spark, sf, name)})

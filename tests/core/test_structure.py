@@ -203,3 +203,16 @@ def test_typed_listings_once(spark):
     assert [tuple(r)[2:] for r in once.orderBy("doc").collect()] == [(f"a {typed} b {prose} c {typed}", 2, 1), (prose + "\\begin{verbatim}import open", 0, 1), (None, 0, 0), ("", 0, 0), ("\\end{verbatim} " + typed, 1, 0)]
     again = rewriting.typed_listings(once.select("doc", "chapter", "text"), "doc", "chapter")
     assert {(r.doc, r.text) for r in again.collect()} == {(r.doc, r.text) for r in once.collect()} and again.agg(F.sum("converted")).first()[0] == 0
+
+
+def test_settings_by_section(spark):
+    wanted = (rewriting.Setting("metrics", "check_cmd", 'count "a" \\s {log}', entry="pages"), rewriting.Setting("ready", "cmd", "refs", word="check_refs"))
+    source = "check: x\n    check_cmd: kept\nmetrics:\n  pages:\n    check_cmd: old main_digital.log\n  other:\n    check_cmd: kept\nready:\n    cmd: check_refs now\n    cmd: kept\n    check_cmd: kept\n  pages:\n    check_cmd: kept"
+    d = texts(spark, source, None, "", "metrics:\n    check_cmd: no entry")
+    once = {r.doc: (r.text, r.changed) for r in rewriting.rewritten_settings(d, wanted, "doc").collect()}
+    new = source.replace("check_cmd: old main_digital.log", r'check_cmd: "count \"a\" \\s guide/main_digital.log"').replace("cmd: check_refs now", 'cmd: "refs"')
+    assert once == {0: (new, True), 1: (None, False), 2: ("", False), 3: ("metrics:\n    check_cmd: no entry", False)}
+    made = rewriting.rewritten_settings(d, wanted, "doc").drop("changed")
+    assert {r.doc: r.text for r in rewriting.rewritten_settings(made, wanted, "doc").where("not changed").collect()} == {k: v for k, (v, _) in once.items()}
+    values = [(r.section, r.entry, r.key, r.value) for r in rewriting.setting_values(made, "doc").orderBy("k").collect()]
+    assert values == [("metrics", "pages", "check_cmd", 'count "a" \\s guide/main_digital.log'), ("ready", None, "cmd", "refs")]
