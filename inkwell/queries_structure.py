@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions import fixed, scanning
+from inkwell.functions import cutting, fixed, scanning
 from inkwell import queries_fleet
 from inkwell.operators import currency, fleet, integrity, rewriting, scoring, structure
+from inkwell.sources import adapters as ad
 from inkwell.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +262,9 @@ n AS (SELECT doc, k, line, CASE {' '.join(_setting(s) for s in _SETTINGS_WANTED)
 SELECT f.doc, any_value(f.text) IS NOT NULL AND COALESCE(bool_or(new <> line), false) AS changed, string_agg(new, chr(10) ORDER BY k) AS text FROM f LEFT JOIN n USING (doc) GROUP BY f.doc""")
 def settings_rewritten(spark, sf):
     return rewriting.rewritten_settings(views.view(spark, sf, views.SETTING_FILES, "supplier"), _SETTINGS_WANTED, "doc")
+
+
+@query(None)
+def cut_texts(spark, sf):
+    marked = F.regexp_replace(F.regexp_replace("text", r"\b(\w{5,8})\b", r"\$$1\$"), r"\b(\w{9,})\b", r"\\($1\\)")
+    return ad.table(spark, sf, "documents").select("doc_id", cutting.cut(marked, 400).alias("cut"))
