@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell.functions import similar
 from inkwell.functions import text as tx
 
 
@@ -165,3 +166,73 @@ def repeated_lines(lines: DataFrame, *key: str) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("line_no")
     plain = F.regexp_replace(tx.strip("line"), r"^\*\*[A-Za-z ]+:\*\*\s*", "")
     return lines.withColumn("plain", plain).withColumn("before", F.lag("plain").over(w)).where("plain <> '' and plain = before").select(*key, "line_no")
+
+
+#: Buckets of the counts that order character triples: the table that is broadcast has no more rows.
+TRIPLE_BUCKETS = 1 << 16
+
+
+def front_classes(cards: DataFrame, size: int = 20) -> DataFrame:
+    """text, ord, last and n: each different lower-cased front of at least size characters, its first and last card and its number of cards."""
+    f = cards.select("ord", tx.strip(F.lower("front")).alias("text")).where(F.length("text") >= size)
+    return f.groupBy("text").agg(F.min("ord").alias("ord"), F.max("ord").alias("last"), F.count("*").alias("n"))
+
+
+def _triples(fronts: DataFrame) -> DataFrame:
+    """ord, n, at, triple: the runs of three characters of each text (n characters) by place."""
+    chars = fronts.select("ord", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("cs")).withColumn("n", F.size("cs"))
+    at = F.sequence(F.lit(1), F.col("n") - 2)
+    runs = F.transform(at, lambda i: F.concat(F.get("cs", i - 1), F.get("cs", i), F.get("cs", i + 1)))
+    return chars.select("ord", "n", F.posexplode(runs).alias("at", "triple"))
+
+
+def ratio_candidates(fronts: DataFrame) -> DataFrame:
+    """(a, b): every pair of texts that can have a matching-block ratio above 0.9, and few others; a is the longer or the later one.
+
+    fronts: ord, text of at least 20 characters, all different. Matching blocks are a common subsequence: with lengths
+    n and m it has more than 0.45 (n + m) characters, so at most 0.1 (n + m) stand beside it. Each of them parts one
+    run of matched characters, and a parting spoils two triples, so at least o = (n + m - 7) / 4 triples are
+    the same in order, and shifted by no more characters than stand beside the subsequence. Of a text's t triples, rarest first
+    and then by place, the first t - o + k hold k of them, in both texts the same k as order is kept; candidates have k
+    such hits. k grows with the length, and only these first triples meet, by triple and length class. A text
+    meets its own class (lengths within 11/9) and the class below, so lengths that can't fit never meet.
+    Counts of triples only order them and may collide. Texts that are all nearly alike meet once for each triple they share.
+    """
+    d = _triples(fronts).withColumn("bucket", F.pmod(F.xxhash64("triple"), F.lit(TRIPLE_BUCKETS)))
+    counts = d.groupBy("bucket").agg(F.count("*").alias("df"))
+    d = d.join(F.broadcast(counts), "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("ord").orderBy("df", "triple", "at")))
+    hits = F.lit(1) + F.floor(F.col("n") / 16)
+    least = lambda total: F.ceil((total - 7) / 4)
+    shortest = F.greatest(F.floor(F.col("n") * 9 / 11) + 1, F.lit(20))
+    d = d.withColumn("k", hits).withColumn("class", F.floor(F.log("n") / F.log(F.lit(11 / 9))))
+    first = lambda total: F.col("n") - 2 - least(total) + F.least(F.col("k"), least(total))
+    tokens = d.where(F.col("rank") <= first(F.col("n") + shortest)).select("ord", "n", "at", "triple", "k", "class", (F.col("rank") <= first(F.col("n") * 2)).alias("short"))
+    a = tokens.select("ord", "n", "at", "triple", F.explode(F.array("class", F.col("class") - 1)).alias("class")).alias("a")
+    b = tokens.where("short").drop("short").alias("b")
+    beside = F.floor((F.col("a.n") + F.col("b.n")) * 9 / 20) + 1
+    later = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.ord") > F.col("b.ord")))
+    shift = F.col("a.at") - F.col("b.at")
+    fits = later & (F.col("b.n") * 11 > F.col("a.n") * 9) & (shift <= F.col("a.n") - beside) & (shift >= beside - F.col("b.n"))
+    met = a.join(b, (F.col("a.triple") == F.col("b.triple")) & (F.col("a.class") == F.col("b.class")) & fits)
+    out = met.groupBy(F.col("a.ord").alias("a"), F.col("b.ord").alias("b")).agg(F.count("*").alias("hits"), F.first("b.k").alias("k"))
+    return out.where("hits >= k").select("a", "b")
+
+
+def ratio_pairs(cards: DataFrame, size: int = 20) -> DataFrame:
+    """ord_a, ord_b, n_a, n_b, ratio: all pairs of different fronts with a matching-block ratio above 0.9, over all collections.
+
+    Fronts are compared lower-cased and stripped; those under size (20 or more) characters and null ones take no part. Equal fronts are one, with
+    their first card and number of cards. The ratio isn't symmetric: of two cards the later one's front is compared with the
+    earlier one's. If cards of both fronts come after one of the other's, the greater ratio counts.
+    """
+    fronts = front_classes(cards, size)
+    pairs = ratio_candidates(fronts.select("ord", "text"))
+    one = fronts.select(F.col("ord").alias("a"), F.col("text").alias("text_a"), F.col("last").alias("last_a"), F.col("n").alias("cards_a"))
+    two = fronts.select(F.col("ord").alias("b"), F.col("text").alias("text_b"), F.col("last").alias("last_b"), F.col("n").alias("cards_b"))
+    d = pairs.join(one, "a").join(two, "b")
+    a_later, b_later = F.col("last_a") > F.col("b"), F.col("last_b") > F.col("a")
+    nobody = F.lit(None).cast("string")
+    d = d.withColumn("ratio", similar.high_ratio(F.when(a_later, F.col("text_a")).otherwise(nobody), "text_b", "text_a", F.when(b_later, F.col("text_b")).otherwise(nobody)))
+    first = F.col("a") < F.col("b")
+    swap = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return d.where("ratio > 0.9").select(swap("a", "b").alias("ord_a"), swap("b", "a").alias("ord_b"), swap("cards_a", "cards_b").alias("n_a"), swap("cards_b", "cards_a").alias("n_b"), F.round("ratio", 6).alias("ratio"))

@@ -560,6 +560,11 @@ def front_ratio(spark, sf):
     return d.select("ord_a", "ord_b", (clean.ratio("a", "b") > 0.9).alias("near"))
 
 
+@query
+def ratio_pairs(spark, sf):
+    return identity.ratio_pairs(ad.cards(spark, sf))
+
+
 @query
 def cleaned_markup(spark, sf):
     return _boxed(spark, sf).select("doc", clean.clean_markup("text").alias("plain"), clean.html_of("text").alias("html"))
