@@ -201,7 +201,7 @@ def ratio_candidates(fronts: DataFrame) -> DataFrame:
     d = _triples(fronts).withColumn("bucket", F.pmod(F.xxhash64("triple"), F.lit(TRIPLE_BUCKETS)))
     counts = d.groupBy("bucket").agg(F.count("*").alias("df"))
     d = d.join(F.broadcast(counts), "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("ord").orderBy("df", "triple", "at")))
-    hits = F.lit(1) + F.floor(F.col("n") / 16)
+    hits = F.lit(1) + F.floor(F.col("n") / 8)
     least = lambda total: F.ceil((total - 7) / 4)
     shortest = F.greatest(F.floor(F.col("n") * 9 / 11) + 1, F.lit(20))
     d = d.withColumn("k", hits).withColumn("class", F.floor(F.log("n") / F.log(F.lit(11 / 9))))

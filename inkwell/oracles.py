@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell import queries_fleet, queries_structure
+from inkwell import queries_exercises, queries_fleet, queries_structure
 from inkwell.functions import fixed
 from inkwell.operators.cards import KINDS, SCAFFOLDING
 from inkwell.sources.adapters import TYPES
@@ -398,3 +398,4 @@ SELECT coalesce(src, 'none') AS source, count(*) FILTER (cat = 'u') AS undefined
 
 ORACLES.update(queries_fleet.ORACLES)
 ORACLES.update(queries_structure.ORACLES)
+ORACLES.update(queries_exercises.ORACLES)

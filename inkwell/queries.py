@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell import queries_fleet, queries_structure
+from inkwell import queries_exercises, queries_fleet, queries_structure
 from inkwell.functions import clean, fixed
 from inkwell.functions import text as tx
 from inkwell.operators import cards, elements, gates, identity, integrity, rewriting, rules, scoring
@@ -580,3 +580,4 @@ def log_sources(spark, sf):
 
 QUERIES.update(queries_fleet.QUERIES)
 QUERIES.update(queries_structure.QUERIES)
+QUERIES.update(queries_exercises.QUERIES)

@@ -203,3 +203,48 @@ SELECT s_suppkey AS doc, CASE WHEN s_suppkey % 13 <> 0 THEN {joined(
 def view(spark: SparkSession, sf: str, sql: str, name: str) -> DataFrame:
     """The rows of one of these views; name: the table that it is over."""
     return spark.sql(sql, **{name: ad.table(spark, sf, name)})
+
+
+def options(*parts: str) -> str:
+    """SQL text of an option in brackets."""
+    return joined("'['", *parts, "']'")
+
+
+def within(name: str, *parts: str) -> str:
+    """SQL text of an environment."""
+    return joined(begin(name), *parts, macro("end", f"'{name}'"))
+
+
+_LOS = either(("p_partkey % 4 = 1", options("'ABC-1.' || CAST(p_size AS STRING)")), ("p_partkey % 4 = 2", options("' ABC-1.2, ,DEF-2.' || CAST(p_size AS STRING) || ' '")), ("p_partkey % 4 = 3", "'[ ]'"))
+_TALK = joined(
+    begin("interviewcontext"),
+    either(("p_partkey % 9 = 0", options("'Why ' || p_brand || ' matters'")), ("p_partkey % 9 = 1", options("'Example of ' || p_name || ' example'")), ("p_partkey % 9 = 2", options("'Practice question'")), ("p_partkey % 9 = 3", options(joined(_TICK, _TICK, "'Answer' || chr(39) || chr(39) || ' structure ' || p_brand"))),
+     ("p_partkey % 9 = 4", options("'Recovery'")), ("p_partkey % 9 = 5", options("'best practices for ' || p_type")), ("p_partkey % 9 = 6", options("p_name")), ("p_partkey % 9 = 7", "'[]'")), either(("p_partkey % 9 < 8", _LOS)), _NL,
+    either(("p_partkey % 5 = 1", macro("companytags", "'Big Co, ' || p_brand || ' ,'"))),
+    either(("p_partkey % 7 = 0", "'When asked about ' || p_name || ', begin with the end.'"), ("p_partkey % 7 = 1", "'They say: how would you make ' || p_type || '?' || chr(10) || 'And describe it.'"), ("p_partkey % 7 = 2", "'Explain why ' || repeat(p_type || ' and ', 6) || ' all hold.'"),
+     ("p_partkey % 7 = 3", "'The topic covers ' || p_name || ' in some length, for ' || p_brand || ' alike. More.'"), ("p_partkey % 7 = 4", "'Short.'"), ("p_partkey % 7 = 5", "'Lead with ' || p_name || ' first' || chr(10) || 'second line'"), other="'  Key ideas: ' || p_brand || '. Walk me through ' || p_type"),
+    either(("p_partkey % 5 = 1", joined("' '", macro("companytags", "'other'")))), either(("p_partkey % 16 <> 5", macro("end", "'interviewcontext'"))), "' between '",
+)
+_DRILL = joined(
+    begin("drill"), _LOS, _NL, either(("p_partkey % 6 <> 4", macro("drillprompt", joined("' what is '", macro("textbf", "p_name"), "'?'"))), ("p_partkey % 12 = 4", joined(_BS, "'drillprompt'", _LB, "'never closed '"))), _NL,
+    either(("p_partkey % 3 <> 2", macro("drillanswer", joined("p_brand || ' '", macro("frac", macro("sqrt", "'a'"), "'b'"))))), either(("p_partkey % 5 < 2", macro("technique", "' think of ' || p_type || ' '"))), either(("p_partkey % 18 <> 7", macro("end", "'drill'"))), "' then '",
+)
+_ROWS = "CAST(p_partkey % 4 AS INT)"
+_LEVEL = within("levelcard", joined(_LB, "' Scope of ' || p_name || ' '", _RB), _LOS, either(("p_partkey % 4 = 0", "' plain words on ' || p_brand"), other=f"repeat({macro('levelrow', chr(39) + ' size ' + chr(39) + ' || p_brand', 'p_type', chr(39) + 'all' + chr(39))} || chr(10), {_ROWS})"))
+_COMPARE = joined(
+    within("comparisoncard", joined(_LB, "p_name", _RB, _LB, "' Left ' || p_brand", _RB, _LB, "'Right'", _RB), _LOS, either(("p_partkey % 4 = 0", "' no rows for ' || p_type"), other=f"repeat({macro('comprow', chr(39) + 'cost' + chr(39), 'p_type', chr(39) + ' b ' + chr(39))} || ' ', {_ROWS})")), "' and '",
+    either(("p_partkey % 3 = 1", within("comparisoncard3", joined(_LB, "p_type", _RB, _LB, "'A'", _RB, _LB, "'B'", _RB, _LB, "p_brand", _RB), either(("p_partkey % 2 = 0", joined(macro("comprowiii", "'d1'", "'1'", "'2'", "p_name"), macro("comprowiii", "'d2'", "''", "'2'", "'3'"))), other="'words'")))),
+    either(("p_partkey % 10 = 3", within("comparisoncard", "'title and columns missing'"))),
+)
+_PREDICT = within(
+    "generatefirst", either(("p_partkey % 3 = 1", options("' Guess ' || p_brand || ' '")), ("p_partkey % 3 = 2", "'[]'")), either(("p_partkey % 8 = 3", "' short '"), other="' What will happen to ' || p_name || '? '"),
+    either(("p_partkey % 5 = 0", joined(_BS, "'generateanswer '", _LB, "'It ' || chr(10)", macro("frac", macro("sqrt", macro("b", "p_type")), "'2'"), "' grows. '", _RB)), ("p_partkey % 5 = 1", joined(_BS, "'generateanswer'", _LB, "' open ' || p_type"))), "' '",
+)
+_ORDER = within(
+    "ordering", _LOS, either(("p_partkey % 3 <> 0", "' Sort the steps of ' || p_name || ' '")), either(("p_partkey % 7 <> 2", joined(macro("orderstep", "' first ' || p_brand"), macro("orderstep", "'second'")))),
+    either(("p_partkey % 6 <> 1", within("solution", "' second, then ' || p_brand || ' '"))), either(("p_partkey % 4 = 2", macro("orderstep", "'behind the solution'"))),
+)
+_MATCH = within("matching", _LOS, either(("p_partkey % 3 <> 1", "'Match ' || p_type")), macro("matchpair", "'pea '", "'plant'"), _NL, either(("p_partkey % 2 = 0", macro("matchpair", "p_brand", "' maker'"))), either(("p_partkey % 7 <> 6", within("solution", "'pea: plant'"))))
+EXERCISES = f"""
+SELECT p_partkey AS doc, CASE WHEN p_partkey % 23 <> 0 THEN {joined("'Text. '", _TALK, either(("p_partkey % 16 = 5", _TALK)), _DRILL, either(("p_partkey % 9 = 7", _DRILL)), _LEVEL, _COMPARE, _PREDICT, _ORDER, _MATCH, either(("p_partkey % 4 = 0", _ORDER)))} END AS text FROM {{part}}
+"""
