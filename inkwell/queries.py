@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 from inkwell import queries_exercises, queries_fleet, queries_structure
 from inkwell.functions import clean, fixed
 from inkwell.functions import text as tx
-from inkwell.operators import cards, elements, gates, identity, integrity, rewriting, rules, scoring
+from inkwell.operators import cards, elements, gates, identity, integrity, recaps, rewriting, rules, scoring
 from inkwell.plans import reports
 from inkwell.sources import adapters as ad
+from inkwell.sources import views
 from inkwell.streaming import freshness
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -578,6 +579,16 @@ def log_sources(spark, sf):
     return d.groupBy(F.coalesce("source", F.lit("none")).alias("source")).pivot("category", ["undefined", "overfull_hbox"]).count().fillna(0)
 
 
+@query
+def recapped_answers(spark, sf):
+    return recaps.recapped(views.view(spark, sf, views.RECAPS, "part"), "doc")
+
+
+@query
+def renewed_recaps(spark, sf):
+    return recaps.renewed(recaps.recapped(views.view(spark, sf, views.RECAPS, "part"), "doc").drop("replaced"), "doc")
+
+
 QUERIES.update(queries_fleet.QUERIES)
 QUERIES.update(queries_structure.QUERIES)
 QUERIES.update(queries_exercises.QUERIES)

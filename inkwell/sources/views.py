@@ -248,3 +248,18 @@ _MATCH = within("matching", _LOS, either(("p_partkey % 3 <> 1", "'Match ' || p_t
 EXERCISES = f"""
 SELECT p_partkey AS doc, CASE WHEN p_partkey % 23 <> 0 THEN {joined("'Text. '", _TALK, either(("p_partkey % 16 = 5", _TALK)), _DRILL, either(("p_partkey % 9 = 7", _DRILL)), _LEVEL, _COMPARE, _PREDICT, _ORDER, _MATCH, either(("p_partkey % 4 = 0", _ORDER)))} END AS text FROM {{part}}
 """
+
+
+_APPROACH = joined(macro("textbf", "'Approach:'"), "' '", either(
+    ("p_partkey % 4 = 0", joined(macro("textbf", "'(a) First:'"), "' the ' || p_type || '. More of it. '", macro("textbf", "'(b) Second.'"), "' then ' || p_brand || ' '", within("itemize", item("' inner'")))),
+    ("p_partkey % 4 = 1", within("enumerate", "'[label=x]'", item("' '", macro("textbf", "'Head'"), "': take ' || p_type || ' '"), item("' then ' || p_brand || '. '", within("itemize", item("' inner'"))))),
+    other="'Work with ' || p_name || ' and 1.5 times ' || p_type || '. Then Stop. And more.'",
+))
+_MARKED = joined("chr(37) || ' NEW: auto-generated 2026-04-30 - please review and refine' || chr(10)", macro("textbf", "'Answer:'"), either(("p_partkey % 2 = 0", joined("' '", _BS, "'textbf'", _LB, "'1.'")), other="' whole'"), _NL)
+_STUBBED = joined(
+    begin("problem"), either(("p_partkey % 3 = 0", within("enumerate", item("' one'"), item("' two'"))), ("p_partkey % 3 = 1", "'(a) Find ' || p_name || ' (b) Give it.'"), other="' What is it? '"), macro("end", "'problem'"), begin("solution"),
+    either(("p_partkey % 5 <> 4", _APPROACH), ("p_partkey % 10 = 4", joined(macro("textbf", "'Key Insight:'"), "' it is ' || p_type || ' '"))), _NL,
+    either(("p_partkey % 7 < 4", joined(macro("textbf", "'Answer:'"), "' see solution above. '")), ("p_partkey % 7 = 4", _MARKED), other=joined(macro("textbf", "'Answer:'"), "' given'")),
+    either(("p_partkey % 11 <> 5", macro("end", "'solution'"))), "' between '",
+)
+RECAPS = f"""SELECT p_partkey AS doc, CASE WHEN p_partkey % 23 <> 0 THEN {joined("'Text '", either(("p_partkey % 6 = 1", joined(macro("textbf", "'Answer:'"), "' See solution above'"))), _STUBBED, either(("p_partkey % 4 = 3", _STUBBED)))} END AS text FROM {{part}}"""
