@@ -30,7 +30,9 @@ def nested(levels: int) -> str:
 def tokens(docs: DataFrame, pattern: str, *keep: str, text: str = "text") -> DataFrame:
     """keep, k (from 0), off and piece: the text in pieces, each but the first beginning with a match of pattern."""
     marked = F.regexp_replace(F.replace(F.col(text), F.lit(MARK), F.lit(" ")), rf"({pattern})", MARK + "$1")
-    d = docs.where(F.col(text) != "").select(*keep, F.posexplode(F.split(marked, MARK)).alias("k", "piece"))
+    # outer: else a filter on the array's size is inferred, which makes the texts again
+    pieces = F.posexplode_outer(F.when(F.col(text) != "", F.split(marked, MARK))).alias("k", "piece")
+    d = docs.select(*keep, pieces).where("k is not null")
     before = Window.partitionBy(*keep).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     return d.withColumn("off", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("long"))
 
@@ -131,7 +133,8 @@ def vignettes(docs: DataFrame, *keep: str, reach: int = fixed.VIGNETTE_REACH) ->
     found = (F.col("next.env") == "solution") & (F.col("next.finish") <= F.col("end_off") + reach)
     start, size = F.col("next.off") + len("\\begin{solution}") + 1, F.col("next.finish") - F.col("next.off") - len("\\begin{solution}\\end{solution}")
     d = d.select(*keep, "off", "body", F.when(found, start).alias("from_"), F.when(found, size).alias("size_"))
-    d = d.join(docs.select(*keep, F.replace(F.col("text"), F.lit(MARK), F.lit(" ")).alias("whole_")), list(keep))
+    # a merge, as files tell nothing of the size of texts, which may be too large for the driver
+    d = d.hint("merge").join(docs.select(*keep, F.replace(F.col("text"), F.lit(MARK), F.lit(" ")).alias("whole_")), list(keep))
     solution = F.nullif(tx.strip(F.expr("substring(whole_, cast(from_ as int), cast(size_ as int))")), F.lit(""))
     lead = r"(?s)^\\begin\{vignette\}(?:\[([^\]]*)\])?(?:\[([^\]]*)\])?(.*)$"
     text = tx.strip(F.regexp_extract("body", lead, 3))

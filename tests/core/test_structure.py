@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed, scanning, snippets
 from inkwell.operators import currency, integrity, rewriting, rules, structure
+from inkwell.sources import views
 
 BOX = r"""\item out \begin{checkpointbox}
 \begin{enumerate}
@@ -216,3 +217,11 @@ def test_settings_by_section(spark):
     assert {r.doc: r.text for r in rewriting.rewritten_settings(made, wanted, "doc").where("not changed").collect()} == {k: v for k, (v, _) in once.items()}
     values = [(r.section, r.entry, r.key, r.value) for r in rewriting.setting_values(made, "doc").orderBy("k").collect()]
     assert values == [("metrics", "pages", "check_cmd", 'count "a" \\s guide/main_digital.log'), ("ready", None, "cmd", "refs")]
+
+
+def test_texts_of_views_are_dealt_out_and_not_broadcast(spark):
+    cases = views.view(spark, "/root/testdata/sf0.1", views.CASES, "part")
+    assert cases.rdd.getNumPartitions() == 20_000 // views.TASK_ROWS + 1
+    plan = structure.vignettes(cases, "doc")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(p_partkey") == 2  # texts aren't shuffled
