@@ -75,7 +75,7 @@ def include_status(includes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 #: Sizes of the windows that lines are indexed by; a needle is looked up by its beginning of the largest size that it has.
-WINDOWS = (8, 3, 1)
+WINDOWS = (24, 8, 3, 1)
 
 
 def first_lines_with(lines: DataFrame, needles: DataFrame) -> DataFrame:
@@ -83,18 +83,22 @@ def first_lines_with(lines: DataFrame, needles: DataFrame) -> DataFrame:
 
     lines: source, line_no, line. needles: id, source, needle (not empty). An inverted index of the lines' windows
     is joined with the needles' beginnings, then the hits are checked against the lines, so that no needle
-    meets lines that don't hold its beginning.
+    meets lines that don't hold its beginning. Equal lines and equal needles of a document are one each, and the joins aren't
+    left to the sizes of files: an index is far larger than what it is made of, too large for the driver.
     """
     sized = F.coalesce(*(F.when(F.length("needle") >= w, F.substring("needle", 1, w)) for w in WINDOWS))
-    wanted = needles.select("id", "source", "needle", sized.alias("window"))
+    wanted = needles.select("source", "needle").distinct().select("source", "needle", sized.alias("window"))
+    lines = lines.groupBy("source", "line").agg(F.min("line_no").alias("line_no"))
 
     def windows(w: int) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.length("line") - (w - 1), F.lit(1)))
         return F.when(F.length("line") >= w, F.transform(places, lambda p: F.substr(F.col("line"), p, F.lit(w)))).otherwise(F.array().cast("array<string>"))
 
-    index = lines.select("source", "line_no", "line", F.explode(F.array_distinct(F.concat(*(windows(w) for w in WINDOWS)))).alias("window"))
-    hits = index.join(wanted, ["source", "window"]).where(F.contains("line", "needle"))
-    return hits.groupBy("id").agg(F.min("line_no").alias("line_no"))
+    index = lines.select("source", "line_no", F.explode(F.array_distinct(F.concat(*(windows(w) for w in WINDOWS)))).alias("window"))
+    hits = index.hint("merge").join(wanted, ["source", "window"]).select("source", "line_no", "needle")
+    hits = hits.hint("merge").join(lines, ["source", "line_no"]).where(F.contains("line", "needle"))
+    first = hits.groupBy("source", "needle").agg(F.min("line_no").alias("line_no"))
+    return needles.hint("merge").join(first, ["source", "needle"]).groupBy("id").agg(F.min("line_no").alias("line_no"))
 
 
 def source_lines(findings: DataFrame, lines: DataFrame, shown: int = 120) -> DataFrame:
@@ -107,8 +111,8 @@ def source_lines(findings: DataFrame, lines: DataFrame, shown: int = 120) -> Dat
     macro = tx.any_of(*(F.contains("line", F.lit("\\" + m)) for m in fixed.CARD_MACROS))
     by_front = first_lines_with(lines.where(macro), findings.select("id", "source", front.alias("needle")).where("needle <> ''"))
     tail = F.when(F.contains("card_id", F.lit("-")), F.lower(F.replace(F.substring_index("card_id", "-", -1), F.lit("_"), F.lit(" ")))).otherwise("")
-    rest = findings.join(by_front.select("id"), "id", "left_anti").select("id", "source", tail.alias("needle")).where("needle <> ''")
+    rest = findings.hint("merge").join(by_front.select("id"), "id", "left_anti").select("id", "source", tail.alias("needle")).where("needle <> ''")
     by_tail = first_lines_with(lines.withColumn("line", F.lower("line")), rest)
-    found = findings.select("id", "source").join(by_front.unionByName(by_tail), "id", "left")
-    out = found.join(lines.select("source", "line_no", F.substring(tx.strip("line"), 1, shown).alias("excerpt")), ["source", "line_no"], "left")
+    found = findings.select("id", "source").hint("merge").join(by_front.unionByName(by_tail), "id", "left")
+    out = found.hint("merge").join(lines.select("source", "line_no", F.substring(tx.strip("line"), 1, shown).alias("excerpt")), ["source", "line_no"], "left")
     return out.select("id", F.coalesce("line_no", F.lit(0)).cast("long").alias("line_no"), F.coalesce("excerpt", F.lit("")).alias("excerpt"))
