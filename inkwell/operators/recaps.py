@@ -4,6 +4,7 @@ A text is cut at problems, solutions and the answers in question; windows say wh
 answer belongs to, its own piece is replaced, and the pieces are put together again: all edits of a document are one pass.
 The columns in keep have to name a document and mustn't be called k, off, piece or spot_. Null and empty texts stay. Marks
 of earlier recaps are no part of a solution, so a recap never quotes one and a second run changes nothing.
+Joins are merges: files tell nothing of the size of texts, which may be too large for the driver.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def _spots(docs: DataFrame, spot: str, *keep: str) -> tuple[DataFrame, DataFrame
     found = d.where(F.col("piece").rlike("^" + spot) & F.col("s_").isNotNull() & F.col("e_").isNotNull())
     whole = docs.select(*keep, F.replace(F.col("text"), F.lit(MARK), F.lit(" ")).alias("whole_"))
     part = lambda a, b: F.substr("whole_", a.cast("int") + 1, (b - a).cast("int"))
-    found = found.join(whole, list(keep)).select(*keep, F.col("k").alias("spot_"), "piece", "after", F.replace(part(F.col("s_.off"), F.col("e_")), F.lit(fixed.RECAP_MARK + "\n"), F.lit("")).alias("solution"), F.coalesce(part(F.col("s_.p_"), F.col("s_.off")), F.lit("")).alias("problem"))
+    found = found.hint("merge").join(whole, list(keep)).select(*keep, F.col("k").alias("spot_"), "piece", "after", F.replace(part(F.col("s_.off"), F.col("e_")), F.lit(fixed.RECAP_MARK + "\n"), F.lit("")).alias("solution"), F.coalesce(part(F.col("s_.p_"), F.col("s_.off")), F.lit("")).alias("problem"))
     return d.select(*keep, "k", "piece"), found
 
 
@@ -106,7 +107,7 @@ def answers(spots: DataFrame, *key: str) -> DataFrame:
     """
     approach = tx.strip(F.regexp_extract("solution", rf"(?s)\\textbf\{{Approach:\}}\s*(.*?)(?={fixed.APPROACH_END}|\z)", 1))
     d = spots.select(*key, "solution", several_parts("problem").alias("several"), approach.alias("approach"))
-    d = d.join(_item_lines(d.where("several").select(*key, "approach"), *key), list(key), "left")
+    d = d.hint("merge").join(_item_lines(d.where("several").select(*key, "approach"), *key), list(key), "left")
     part = F.when(F.col("several"), F.coalesce(_part_lines(F.col("approach")), F.when(F.size("items") >= 2, F.col("items"))))
     listed = F.concat(F.lit(ANSWER + "\n\\begin{enumerate}[label=(\\alph*)]\n"), F.array_join(F.transform(part, lambda x: F.concat(F.lit("  \\item "), x)), "\n"), F.lit("\n\\end{enumerate}"))
     key_insight = F.regexp_extract("solution", r"(?s)\\textbf\{Key Insight:\}\s*(.+?)(?=\\textbf\{|\z)", 1)
@@ -116,7 +117,7 @@ def answers(spots: DataFrame, *key: str) -> DataFrame:
 
 def _put(docs: DataFrame, pieces: DataFrame, new: DataFrame, *keep: str) -> DataFrame:
     """keep, text and replaced: the texts with the pieces of new (keep, spot_, new) in place of their own."""
-    d = pieces.join(new.withColumnRenamed("spot_", "k"), [*keep, "k"], "left")
+    d = pieces.hint("merge").join(new.withColumnRenamed("spot_", "k"), [*keep, "k"], "left")
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.coalesce("new", "piece").alias("piece")))), lambda p: p["piece"]), "")
     made = d.groupBy(*keep).agg(whole.alias("text"), F.count("new").alias("replaced"))
     rest = docs.where("text is null or text = ''").select(*keep, "text", F.lit(0).cast("long").alias("replaced"))
@@ -130,7 +131,7 @@ def recapped(docs: DataFrame, *keep: str) -> DataFrame:
     """
     pieces, spots = _spots(docs, fixed.STUB, *keep)
     new = F.concat(F.lit(fixed.RECAP_MARK + "\n"), "answer", F.regexp_replace("piece", "^" + fixed.STUB, ""))
-    made = answers(spots, *keep, "spot_").join(spots.select(*keep, "spot_", "piece"), [*keep, "spot_"])
+    made = answers(spots, *keep, "spot_").hint("merge").join(spots.select(*keep, "spot_", "piece"), [*keep, "spot_"])
     return _put(docs, pieces, made.select(*keep, "spot_", new.alias("new")), *keep)
 
 
@@ -151,5 +152,5 @@ def renewed(docs: DataFrame, *keep: str, force: bool = False) -> DataFrame:
     spots = spots.where(F.startswith("after", F.lit("\\end{solution}"))).withColumn("old", F.substring("piece", len(fixed.RECAP_MARK) + 2, 1 << 30))
     if not force:
         spots = spots.where(cut_short(F.col("old"), several_parts("problem")))
-    made = answers(spots, *keep, "spot_").join(spots.select(*keep, "spot_", "old"), [*keep, "spot_"]).where(tx.strip("old") != tx.strip("answer"))
+    made = answers(spots, *keep, "spot_").hint("merge").join(spots.select(*keep, "spot_", "old"), [*keep, "spot_"]).where(tx.strip("old") != tx.strip("answer"))
     return _put(docs, pieces, made.select(*keep, "spot_", F.concat(F.lit(fixed.RECAP_MARK + "\n"), "answer", F.lit("\n")).alias("new")), *keep)

@@ -90,3 +90,10 @@ def test_made_up_texts_change_once(spark):
     assert once.agg({"replaced": "sum"}).first()[0] > 0 and twice.agg({"replaced": "sum"}).first()[0] > 0
     assert recaps.recapped(twice.drop("replaced"), "doc").where("replaced > 0").count() == 0
     assert recaps.renewed(twice.drop("replaced"), "doc").where("replaced > 0").count() == 0
+
+
+def test_texts_are_not_broadcast(spark):
+    d = views.view(spark, "/root/testdata/sf0.01", views.RECAPS, "part")
+    for found in (recaps.recapped(d, "doc"), recaps.renewed(d, "doc")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
