@@ -75,3 +75,11 @@ def test_common():
         assert similar.common(a, b) == table[-1][-1]
         r = SequenceMatcher(None, a, b).ratio()
         assert similar.block_ratio(a, b) == (r if r > 0.9 else 0) or not a + b
+
+
+def test_triples_are_ranked_where_they_are_made(spark):
+    fronts = spark.createDataFrame([(1, "the quick brown fox jumps over it"), (2, "the quick brown fox jumps over it!")], "ord long, text string")
+    plan = identity.ratio_candidates(fronts)._jdf.queryExecution().executedPlan().toString()
+    ranked = plan[plan.index("Window") :]
+    assert "hashpartitioning(ord" not in ranked[: ranked.index("Generate")]
+    assert [tuple(r) for r in identity.ratio_candidates(fronts).collect()] == [(2, 1)]
