@@ -267,3 +267,18 @@ def test_neighbours_skip_leaves_of_far_clusters(spark, monkeypatch):
         hits += len(found[q] & set(np.argsort(-score)[:20].tolist()))
     assert hits >= 0.9 * 20 * 120
     assert found[5000] <= {5000 + i for i in range(1, 30)} and len(found[5000]) == 20
+
+
+def test_jaccard_lists_part_sizes_that_cannot_link(spark):
+    """One element in sets of 20, 25, 33, 60, 61 and 200: what is alone with its size goes, hubs stay within a part, and a split list stays whole."""
+    sizes = np.array([20, 61, 200, 25, 60, 33], np.uint32)
+    nodes, tokens = np.array([5, 1, 0, 4, 2, 3], np.int64), np.full(6, 9, np.uint64)
+    row = (0, tokens.tobytes(), nodes.tobytes(), sizes.tobytes(), np.ones(6, np.uint8).tobytes(), np.ones(6, np.uint32).tobytes())
+    packed = spark.createDataFrame([row, row], jaccard_join._ENTRIES)
+    plain = jaccard_join.Order(np.empty(0, np.uint64), np.empty(0, np.int64))
+    found = jaccard_join.shared(packed, plain, 2).collect()
+    assert sorted((r["n"], r["node"], r["hub"], r["size"]) for r in found) == [(20, 5, 3, 3), (25, 4, 3, 3), (33, 3, 3, 3), (60, 2, 1, 2), (61, 1, 1, 2)]
+    assert len({r["token"] for r in found if r["n"] < 40}) == len({r["token"] for r in found if r["n"] > 40}) == 1 and len({r["token"] for r in found}) == 2
+    common_ = jaccard_join.Order(np.array([9], np.uint64), np.array([jaccard_join.SPLIT]))
+    whole = jaccard_join.shared(packed, common_, 2).collect()
+    assert {(r["token"], r["hub"]) for r in whole} == {(9, 0)} and len(whole) == 6
