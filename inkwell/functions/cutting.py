@@ -14,11 +14,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed
 from inkwell.functions import text as tx
-
-
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value worked out once however often f uses it."""
-    return F.transform(F.array(value), f)[0]
+from inkwell.functions.text import let
 
 
 def last_place(c: Column, piece: str) -> Column:

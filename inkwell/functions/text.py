@@ -6,6 +6,7 @@ per character otherwise and overflows its stack on long documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(col(c), rf"^{BLANK}+|{BLANK}+$", "")
@@ -64,13 +70,12 @@ def words(c: Column | str) -> Column:
     """
     s = F.regexp_replace(col(c), r"\\hfill\s*\\textit\s*\{\s*\([^)]*\)\s*\}\s*\.?\s*(?:%[^\n]*)?$", "")
     s = F.regexp_replace(s, r"\\[a-zA-Z]+\*?(\[[^\]]*\])?", " ")
-    s = F.regexp_replace(F.lower(F.regexp_replace(s, r"[{}]", " ")), r"[^a-z0-9\s]", " ")
-    return F.filter(F.split(s, r"\s+"), lambda w: F.length(w) > 1)
+    return F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def suffix(words_: Column, n: int = 10) -> Column:
     """The last n words joined by blanks; null if there are fewer."""
-    return F.when(F.size(words_) >= n, F.array_join(F.slice(words_, F.size(words_) - n + 1, n), " "))
+    return let(words_, lambda w: F.when(F.size(w) >= n, F.array_join(F.slice(w, -n, n), " ")))
 
 
 def contains_run(haystack: Column, needle: Column) -> Column:

@@ -66,9 +66,14 @@ def clone_rates(lines: DataFrame, limit: float = 0.30) -> DataFrame:
     return out.withColumn("flagged", F.col("n_cloned") > limit * F.col("n_notes"))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with value as column name. It comes from a generator: a filter on a plain column is moved in front of it and works value out again."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def suffixes(items: DataFrame, n: int = 10) -> DataFrame:
     """Items with the last n words of text."""
-    return items.withColumn("suffix", tx.suffix(tx.words("text"), n))
+    return once(items, "suffix", tx.suffix(tx.words("text"), n))
 
 
 def suffix_clusters(items: DataFrame, least: int = 3, n: int = 10) -> DataFrame:
@@ -83,10 +88,11 @@ def templated(items: DataFrame, outcomes: DataFrame, known: tuple[str, ...], *ke
     items: collection, los_id, text. outcomes: los_id, statement; the first statement of an id counts.
     """
     stated = outcomes.groupBy("los_id").agg(F.min_by("statement", "ord").alias("statement")).select("los_id", tx.words("statement").alias("wanted"))
-    d = items.withColumn("words", tx.words("text")).drop("text").join(stated, "los_id", "left")
+    d = once(items, "words", tx.words("text")).drop("text").join(stated, "los_id", "left")
     # the words end here: what is joined below has only the ending and whether the outcome stands in the text
     verbatim = (F.size("wanted") >= least_outcome) & tx.contains_run(F.col("words"), F.col("wanted"))
-    d = d.select(*dict.fromkeys((*keep, "collection")), tx.suffix(F.col("words"), n).alias("suffix"), verbatim.alias("verbatim"))
+    d = d.select(*dict.fromkeys((*keep, "collection")), "words", verbatim.alias("verbatim"))
+    d = once(d, "suffix", tx.suffix(F.col("words"), n)).drop("words")
     shared = d.where("suffix is not null").groupBy("collection", "suffix").agg(F.count("*").alias("cluster")).where(F.col("cluster") >= least)
     d = d.join(shared, ["collection", "suffix"], "left")
     reasons = F.array_compact(F.array(

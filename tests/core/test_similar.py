@@ -4,8 +4,10 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.functions import similar
+from inkwell.functions import text as tx
 from inkwell.operators import identity
 
 
@@ -83,3 +85,20 @@ def test_triples_are_ranked_where_they_are_made(spark):
     ranked = plan[plan.index("Window") :]
     assert "hashpartitioning(ord" not in ranked[: ranked.index("Generate")]
     assert [tuple(r) for r in identity.ratio_candidates(fronts).collect()] == [(2, 1)]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_taken_once(spark):
+    """What uses an item's ending takes its words once for each use of the table, also where it is filtered."""
+    items = spark.createDataFrame([("c", 1, "1", r"One two three \hfill \textit{(A-1)}."), ("c", 2, "1", r"x \emph[opt]{one} TWO, three"), ("c", 3, "1", None), ("c", 4, "1", "two"), ("c", 5, "1", "Kelvin İs o'clock")], "collection string, ord long, los_id string, text string")
+    clusters = identity.suffix_clusters(items, 2, 3)
+    assert _plan(clusters).count("hfill") == 1
+    assert [tuple(r) for r in clusters.collect()] == [("c", "one two three", 2)]
+    assert [r[0] for r in items.orderBy("ord").select(tx.words("text")).collect()] == [["one", "two", "three"], ["one", "two", "three"], None, ["two"], ["kelvin", "clock"]]
+    stated = spark.createDataFrame([("1", "one two three", 1)], "los_id string, statement string, ord long")
+    found = identity.templated(items, stated, ("no such tail",), "ord", least=2, n=3)
+    assert _plan(found).count("hfill") <= 4  # the items twice, the statements twice
+    assert sorted(map(tuple, found.collect())) == [(1, "shared-suffix(x2),verbatim-los"), (2, "shared-suffix(x2),verbatim-los")]
