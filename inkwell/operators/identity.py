@@ -115,12 +115,11 @@ def run_hits(items: DataFrame, runs: DataFrame, n: int = 8) -> DataFrame:
     items: ord, text; runs: run_id, text. A run of fewer than n words takes no part. Only places and
     hashes are exploded; the words of the items that have one are taken again for the comparison.
     """
-    head = lambda w, k: F.xxhash64(F.array_join(F.slice(w, k, n), " "))
-    r = runs.withColumn("w", tx.words("text")).where(F.size("w") >= n).select("run_id", head(F.col("w"), F.lit(1)).alias("head"), F.col("w").alias("run"))
-    i = items.select("ord", tx.words("text").alias("w")).where(F.size("w") >= n)
-    heads = i.select("ord", F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda k: head(F.col("w"), k)).alias("heads"))
+    head = lambda w, k: F.xxhash64(*(F.get(w, k + j) for j in range(n)))  # noqa: E731  (a slice copies all words for each place)
+    r = runs.withColumn("w", tx.words("text")).where(F.size("w") >= n).select("run_id", head(F.col("w"), F.lit(0)).alias("head"), F.col("w").alias("run"))
+    heads = tx.let(tx.words("text"), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda k: head(w, k))))
     # outer: else a filter on the array's size is inferred, which takes the words again for each place
-    met = heads.select("ord", F.posexplode_outer("heads").alias("at", "head")).join(r.select("run_id", "head"), "head").select("ord", "at", "run_id")
+    met = items.select("ord", F.posexplode_outer(heads).alias("at", "head")).join(r.select("run_id", "head"), "head").select("ord", "at", "run_id")
     there = items.join(met.select("ord").distinct(), "ord", "left_semi").select("ord", tx.words("text").alias("w"))
     d = met.join(there, "ord").join(r.select("run_id", "run"), "run_id")
     return d.where(F.slice("w", F.col("at") + 1, F.size("run")) == F.col("run")).select("ord", "run_id").distinct()

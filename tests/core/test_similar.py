@@ -102,3 +102,12 @@ def test_words_are_taken_once(spark):
     found = identity.templated(items, stated, ("no such tail",), "ord", least=2, n=3)
     assert _plan(found).count("hfill") <= 4  # the items twice, the statements twice
     assert sorted(map(tuple, found.collect())) == [(1, "shared-suffix(x2),verbatim-los"), (2, "shared-suffix(x2),verbatim-los")]
+
+
+def test_runs_are_met_without_copies_of_the_words(spark):
+    """The words of each place are looked up one by one: a slice copies all words of a text for each of its places."""
+    items = spark.createDataFrame([(1, "zero a1 a2 a3 a4 a5 a6 a7 a8 a9 end"), (2, "a1 a2 a3 a4 a5 a6 a7 a8"), (3, "short"), (4, None)], "ord long, text string")
+    runs = spark.createDataFrame([(7, "A1 a2 a3 a4 a5 a6 a7 a8"), (8, "a2 a3 a4 a5 a6 a7 a8 a9 end"), (9, "a1 a2")], "run_id long, text string")
+    found = identity.run_hits(items, runs)
+    assert not [line for line in _plan(found).splitlines() if "posexplode" in line and "slice(" in line]
+    assert sorted(map(tuple, found.collect())) == [(1, 7), (1, 8), (2, 7)]
