@@ -94,10 +94,7 @@ def term_name(c: Column | str) -> Column:
 
 def bigrams(c: Column | str) -> Column:
     """Distinct pairs of neighbouring characters; linear in the length."""
-    chars = F.split(col(c), "")
-    chars = F.filter(chars, lambda x: x != "")
-    pairs = F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.array_distinct(pairs)
+    return F.array_distinct(F.regexp_extract_all(col(c), F.lit("(?s)(?=(..))."), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -105,10 +102,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
+def jaccard_of_distinct(a: Column, b: Column) -> Column:
+    """The same of arrays without repeats, which only have to be intersected."""
+    both = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both).otherwise(F.lit(0.0))
+
+
 def bigram_similarity(a: Column | str, b: Column | str) -> Column:
     """1 for equal texts, 0 if either is empty, else the similarity of their character pairs."""
     a, b = col(a), col(b)
-    return F.when(a == b, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(jaccard(bigrams(a), bigrams(b)))
+    return F.when(a == b, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(let(F.struct(bigrams(a).alias("a"), bigrams(b).alias("b")), lambda p: jaccard_of_distinct(p["a"], p["b"])))
 
 
 def slug(c: Column | str, size: int = 50) -> Column:

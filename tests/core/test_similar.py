@@ -111,3 +111,13 @@ def test_runs_are_met_without_copies_of_the_words(spark):
     found = identity.run_hits(items, runs)
     assert not [line for line in _plan(found).splitlines() if "posexplode" in line and "slice(" in line]
     assert sorted(map(tuple, found.collect())) == [(1, 7), (1, 8), (2, 7)]
+
+
+def test_character_pairs_are_made_once(spark):
+    """Each text's pairs are made once for a similarity, by one pass; a pair may hold any character."""
+    d = spark.createDataFrame([("ab\n\U0001f600b\U0001f600b", "ab\n\U0001f600c"), ("", "ab"), ("a", "bc"), ("same", "same")], "a string, b string")
+    out = d.select(tx.bigram_similarity("a", "b").alias("s"), F.sort_array(tx.bigrams("a")).alias("pairs"))
+    assert _plan(out).count("(?=(..))") == 3
+    rows = out.collect()
+    assert [r["s"] for r in rows] == [3 / 6, 0.0, 0.0, 1.0]
+    assert set(rows[0]["pairs"]) == {"ab", "b\n", "\n\U0001f600", "\U0001f600b", "b\U0001f600"}
