@@ -228,3 +228,17 @@ def test_whitening_query(spark):
     found = whitening.query(spark, SF)
     assert [f.dataType.simpleString() for f in found.schema] == ["bigint", "int", "bigint", "bigint", "double", "double", "double"]
     assert found.where("identity_error > 1e-4 or whitened is null").count() == 0
+
+
+def test_collocations_broadcast_nothing_that_grows(spark):
+    """Files of words and phrases are compressed, so what is small on disk isn't in the driver: such joins are merges whatever the limit."""
+    found = spark.createDataFrame([("en", "a b", 40), ("en", "a", 50), ("en", "b", 60)], "lang string, phrase string, f long")
+    totals = spark.createDataFrame([("en", 110)], "lang string, n long")
+    ids = spark.createDataFrame([(1, 2, 40)], "w1 long, w2 long, f long")
+    words = spark.createDataFrame([("en", "a", 50, 1), ("en", "b", 60, 2)], "lang string, phrase string, f long, id long")
+    spelt = collocations.spelt(ids, words, ["w1", "w2"])
+    rows = collocations.scored(found, totals)
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (spelt, rows)]
+    assert plans[0].count("BroadcastHashJoin") == 0 and plans[1].count("BroadcastHashJoin") <= 1  # the totals of the languages
+    assert [tuple(r) for r in spelt.collect()] == [("en", "a b", 40)]
+    assert [(r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in rows.collect()] == [("a b", 40, 50, 60, 110, 727272)]
