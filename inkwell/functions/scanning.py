@@ -22,10 +22,13 @@ NESTED = 8
 
 
 def blanked(c: Column | str, pattern: str) -> Column:
-    """c with every match of pattern made as many blanks."""
-    hits = F.transform(F.regexp_extract_all(tx.col(c), F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
-    pairs = F.arrays_zip(F.split(tx.col(c), pattern).alias("part"), hits.alias("hit"))
-    return F.array_join(F.transform(pairs, lambda z: F.concat(z["part"], F.coalesce(z["hit"], F.lit("")))), "")
+    """c with every match of pattern made as many blanks; c is worked out once, so that blankings may be nested."""
+    def of(text: Column) -> Column:
+        hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
+        pairs = F.arrays_zip(F.split(text, pattern).alias("part"), hits.alias("hit"))
+        return F.array_join(F.transform(pairs, lambda z: F.concat(z["part"], F.coalesce(z["hit"], F.lit("")))), "")
+
+    return tx.let(tx.col(c), of)
 
 
 def masked(c: Column | str) -> Column:

@@ -144,6 +144,12 @@ def test_masks_keep_places(spark):
     assert [(doc, place) for doc, place, _ in found] == [(0, 3), (1, 18), (2, 11), (3, len(values[3])), (4, 5), (6, 7), (7, 4)]
 
 
+def test_masking_works_a_text_out_once(spark):
+    """It was worked out twice for each kind of region, and so were all maskings before it."""
+    d = spark.range(1).select(scanning.masked(F.upper(F.concat(F.lit("a $b < c$ "), F.col("id").cast("string")))).alias("m"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1 and d.first().m == "A         0"
+
+
 def test_margins_go(spark):
     d = texts(spark, r"a \patternmargin{x {y \} z} {}} b", r"a \warningmargin {open \formulamargin{in} b", r"\margin{stays} \%", None)
     assert [r.x for r in d.orderBy("doc").select(scanning.without_margins("text").alias("x")).collect()] == ["a  b", "a open  b", r"\margin{stays} \%", None]
