@@ -75,8 +75,12 @@ def cut(c: Column | str, most: int) -> Column:
 
     Of the kinds of sentence ends the first that lies beyond 40 % counts. A text with embedded images may have
     15,000 characters. Sections of answers and key insights that the cut drops are put behind it.
+    c is worked out once, however long its expression is.
     """
-    c = tx.col(c)
+    return let(tx.col(c), lambda whole: _cut(whole, most))
+
+
+def _cut(c: Column, most: int) -> Column:
     limit = F.when(F.contains(c, F.lit("data:image")) & F.contains(c, F.lit("base64")), F.lit(max(most, fixed.IMAGE_LENGTH))).otherwise(F.lit(most))
 
     def image_safe(head: Column) -> Column:
