@@ -1,9 +1,9 @@
 r"""Cards of exercises: interview questions, drills, tables of levels and comparisons, predictions, orderings and matchings.
 
 Every card comes from a block: an environment from its first opening to the next closing, whatever stands
-in between; an opening without closing makes none. Blocks are put together from a document's pieces by windows, so
+in between; an opening without closing makes none. Texts are cut behind each closing and looked through once, so
 openings that are never closed cost no rescans. Backs are the markup itself. The columns in
-keep have to name a document and mustn't be called block, off, k, piece or body. Null and empty texts, and texts without blocks, give no rows.
+keep have to name a document and mustn't be called block, off, k, piece, body or cut_. Null and empty texts, and texts without blocks, give no rows.
 """
 
 from __future__ import annotations
@@ -14,31 +14,34 @@ from pyspark.sql.window import Window
 
 from inkwell.functions import cutting, fixed
 from inkwell.functions import text as tx
-from inkwell.operators.structure import nested, tokens
+from inkwell.operators.identity import once
+from inkwell.operators.structure import MARK, nested
 
 BRACED, BRACKET = r"\{([^}]+)\}", r"(?:\[([^\]]*)\])?"
 
 
 def blocks(docs: DataFrame, name: str, *keep: str) -> DataFrame:
     """keep, block (from 1, in order), off and body (what stands between opening and closing, options included)."""
-    d = tokens(docs, rf"\\begin\{{{name}\}}|\\end\{{{name}\}}", *keep)
-    ends = F.startswith("piece", F.lit(f"\\end{{{name}}}"))
+    begin, end = f"\\begin{{{name}}}", f"\\end{{{name}}}"
+    # what stands in front of each closing; behind the last one nothing is closed
+    closed = tx.let(F.split(F.replace(F.col("text"), F.lit(MARK), F.lit(" ")), rf"\\end\{{{name}\}}"), lambda p: F.slice(p, F.lit(1), F.size(p) - 1))
+    # outer: else a filter on the array's size is inferred, which makes the texts again
+    d = docs.select(*keep, F.posexplode_outer(closed).alias("k", "piece")).where("k is not null")
     doc = Window.partitionBy(*keep).orderBy("k")
-    d = d.withColumn("ends", ends).withColumn("round", F.coalesce(F.sum(ends.cast("int")).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    run = Window.partitionBy(*keep, "round").orderBy("k")
-    d = d.withColumn("begun", F.max(F.startswith("piece", F.lit(f"\\begin{{{name}}}")).cast("int")).over(run)).where("begun = 1")
-    parts = F.transform(F.sort_array(F.collect_list(F.when(~F.col("ends"), F.struct("k", "piece")))), lambda p: p["piece"])
-    d = d.groupBy(*keep, "round").agg(F.min("off").alias("off"), F.array_join(parts, "").alias("body"), F.bool_or("ends").alias("closed")).where("closed")
-    block = F.row_number().over(Window.partitionBy(*keep).orderBy("off"))
-    return d.select(*keep, block.alias("block"), "off", F.substring("body", len(f"\\begin{{{name}}}") + 1, 1 << 30).alias("body"))
+    at = F.instr("piece", begin)
+    before = F.coalesce(F.sum(F.length("piece") + len(end)).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.select(*keep, "k", (before + at - 1).cast("long").alias("off"), F.when(at > 0, F.substr(F.col("piece"), at + len(begin))).alias("body"))
+    block = F.count("body").over(doc.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return d.select(*keep, block.alias("block"), "off", "body").where("body is not null")
 
 
 def _parts(d: DataFrame, lead: str, *names: str) -> DataFrame:
     """The groups of lead, at a body's beginning, as columns names, and the stripped rest as body; bodies that don't begin so go."""
-    whole = rf"(?s)^{lead}(.*)$"
-    groups = [F.regexp_extract("body", whole, i + 1).alias(n) for i, n in enumerate((*names, "rest_"))]
-    d = d.where(F.col("body").rlike(whole)).select(*(c for c in d.columns if c != "body"), *groups)
-    return d.withColumn("body", tx.strip("rest_")).drop("rest_")
+    n = len(names) + 1
+    cut = F.split(F.regexp_replace("body", rf"(?s)^{lead}(.*)$", MARK.join(f"${i + 1}" for i in range(n))), MARK)
+    d = once(d, "cut_", cut).where(F.size("cut_") == n)
+    groups = [F.col("cut_")[i].alias(c) for i, c in enumerate(names)]
+    return once(d.select(*(c for c in d.columns if c not in ("body", "cut_")), *groups, F.col("cut_")[n - 1].alias("rest_")), "body", tx.strip("rest_")).drop("rest_")
 
 
 def _given(c: Column | str) -> Column:
@@ -164,7 +167,9 @@ def arrangements(docs: DataFrame, *keep: str) -> DataFrame:
         d = _parts(blocks(docs, kind, *keep), BRACKET, "los_").where(F.col("body").rlike(solved))
         d = d.withColumn("answer", tx.strip(F.regexp_extract("body", solved, 2))).withColumn("body", tx.strip(F.regexp_extract("body", solved, 1)))
         row = rf"\\{macro}" + BRACED * n
-        items, goals = (F.transform(F.regexp_extract_all("body", F.lit(row), F.lit(g)), lambda x: tx.strip(x)) for g in (1, n))
+        # up to the last closing brace, else each open step is followed to the end
+        shut = F.substr(F.col("body"), F.lit(1), F.length("body") - F.length(F.substring_index("body", "}", -1)))
+        items, goals = (F.transform(F.regexp_extract_all(shut, F.lit(row), F.lit(g)), lambda x: tx.strip(x)) for g in (1, n))
         prompt = F.coalesce(_given(F.regexp_extract("body", rf"(?s)^(.*?)\\{macro}\{{", 1)), F.lit(ask))
         tail = "" if n == 1 else " -> ???"
         lines = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x, F.lit(tail))), "\n")

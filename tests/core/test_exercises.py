@@ -92,3 +92,13 @@ def test_long_and_open_blocks_take_linear_time(spark):
     began = time.time()
     assert exercises.drills(d, "doc").count() == 1 and exercises.arrangements(d, "doc").count() == 0
     assert time.time() - began < 60
+
+
+def test_blocks_are_found_without_grouping(spark):
+    """A document's pieces were grouped and sorted again for its blocks; now they are sorted once, for places and numbers."""
+    both = r"a\x01\end{drill}\begin{drill}open\begin{drill}b\end{drill}c\end{drill}\begin{drill}\end{drill}\begin{drill}d".replace("\\x01", "\x01")
+    d = exercises.blocks(texts(spark, both, None, "", r"\end{drill}"), "drill", "doc")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort [") == 1
+    first = both.index(r"\begin")
+    assert sorted(map(tuple, d.collect())) == [(0, 1, first, r"open\begin{drill}b"), (0, 2, both.index(r"\begin{drill}\end"), "")]
