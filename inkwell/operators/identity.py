@@ -137,12 +137,16 @@ def near_fronts(cards: DataFrame, least: int = 85, size: int = 20) -> DataFrame:
     counts = words.groupBy("word").agg(F.count("*").alias("df"))
     ranked = words.join(counts, "word").groupBy("collection", "ord", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda s: s["word"]).alias("ordered"))
     take = F.col("n") - F.ceil(F.col("n") * least / 100) + 1
-    prefix = ranked.select("collection", "ord", "n", "ordered", F.explode(F.slice("ordered", F.lit(1), take.cast("int"))).alias("word"))
+    prefix = ranked.select("collection", "ord", "n", F.posexplode(F.slice("ordered", F.lit(1), take.cast("int"))).alias("at", "word"))
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.collection") == F.col("b.collection")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.ord") < F.col("b.ord"))
     fits = (F.col("a.n") * 100 >= F.col("b.n") * least) & (F.col("b.n") * 100 >= F.col("a.n") * least)
-    pairs = a.join(b, near & fits).select("a.collection", F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"), F.size(F.array_intersect("a.ordered", "b.ordered")).alias("both"), F.size(F.array_union("a.ordered", "b.ordered")).alias("either"))
-    return pairs.where(F.col("both") * 100 >= F.col("either") * least).distinct()
+    # in front of the first word that both have there is none to share, so what is left has to do
+    enough = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) * (100 + least) >= (F.col("a.n") + F.col("b.n")) * least
+    met = a.join(b, near & fits & enough).select(F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b")).distinct()
+    sets = lambda name, *more: ranked.select(*more, F.col("ord").alias(f"ord_{name}"), F.col("ordered").alias(name))
+    pairs = met.join(sets("a", "collection"), "ord_a").join(sets("b"), "ord_b").select("collection", "ord_a", "ord_b", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("n"))
+    return pairs.select("collection", "ord_a", "ord_b", "both", (F.col("n") - F.col("both")).alias("either")).where(F.col("both") * 100 >= F.col("either") * least)
 
 
 def term_clusters(terms: DataFrame) -> DataFrame:

@@ -558,7 +558,9 @@ def front_ratio(spark, sf):
     pairs = identity.near_fronts(ad.cards(spark, sf), 60)
     fronts = ad.cards(spark, sf).select("ord", "front")
     d = pairs.join(fronts.select(F.col("ord").alias("ord_a"), F.col("front").alias("a")), "ord_a").join(fronts.select(F.col("ord").alias("ord_b"), F.col("front").alias("b")), "ord_b")
-    return d.select("ord_a", "ord_b", (clean.ratio("a", "b") > 0.9).alias("near"))
+    # pairs take long for their size, so partitions aren't put together by size
+    d = d.select("ord_a", "ord_b", "a", "b").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ord_a", "ord_b")
+    return d.select("ord_a", "ord_b", clean.ratio_above("a", "b", 0.9).alias("near"))
 
 
 @query

@@ -398,3 +398,30 @@ def test_fields_of_texts(spark):
     assert one(snippets.outcome_fault(F.lit("PY-1.1"), F.lit("Explain"))) is None and one(snippets.outcome_fault(F.lit(None).cast("string"), F.lit("x"))) == "format"
     block, body, error = snippets.front_matter(F.lit("---\na: 'x y'\n---\n## H\n"))
     assert one(snippets.field_of(block, "a")) == "x y" and one(body) == "## H\n" and one(error) is None and one(snippets.code_language(F.lit("plain words"))) is None
+
+
+def test_near_fronts_and_their_ratio_against_all_pairs(spark):
+    """Candidates are met without their words and only where enough words are left; ratios are bounded before they are worked out."""
+    import random
+    from difflib import SequenceMatcher
+
+    from pyspark.sql import functions as F
+
+    from inkwell.functions import clean
+    from inkwell.operators import identity
+
+    rnd = random.Random(5)
+    fronts = [" ".join(rnd.choices(["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "theta"], k=rnd.randint(4, 9))) for _ in range(60)]
+    d = spark.createDataFrame([(f"c{i % 2}", i, f) for i, f in enumerate(fronts)], "collection string, ord long, front string")
+    found = identity.near_fronts(d, 60)
+    first = {}
+    for i, f in enumerate(fronts):
+        if len(f) >= 20:
+            first.setdefault((i % 2, f), i)
+    sets = {i: (c, set(f.split(" "))) for (c, f), i in first.items()}
+    wanted = {(a, b) for a, (c, x) in sets.items() for b, (e, y) in sets.items() if a < b and c == e and len(x & y) * 100 >= len(x | y) * 60}
+    assert wanted and {(r.ord_a, r.ord_b) for r in found.collect()} == wanted
+    assert "Aggregate [ord_a" in found._jdf.queryExecution().optimizedPlan().toString()  # pairs are made one before their words are fetched
+    pairs = [(x, y) for x in fronts[:12] for y in fronts[:12]] + [("a", None), (None, None)]
+    near = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(clean.ratio_above(F.col("a"), F.col("b"), 0.9)).collect()]
+    assert near == [SequenceMatcher(None, x or "", y or "").ratio() > 0.9 for x, y in pairs]
