@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from inkwell.functions import text as tx
-from inkwell.functions.markup import ScanMacros
+from inkwell.functions.markup import MACRO_FIELDS, scan_macros
 
 #: A braced argument with at most one braced group inside; possessive, so that long arguments don't recurse.
 ARG = r"\{((?:[^{}]++|\{[^{}]*+\})*+)\}"
@@ -28,9 +29,9 @@ def outcomes(docs: DataFrame, *keep: str, raw: bool = False) -> DataFrame:
 
 
 def macro_rows(docs: DataFrame, names: tuple[str, ...], *keep: str) -> DataFrame:
-    """Every macro of names with its options and arguments, braces balanced to any depth: one pass of a table function."""
-    scan = ScanMacros(F.col("text").outer(), F.lit(",".join(names)))
-    return docs.lateralJoin(scan).select(*keep, "name", "options", "args", "off", "end_off", "ord")
+    """Every macro of names with its options and arguments, braces balanced to any depth: one pass over Arrow batches."""
+    d = docs.select(*keep, F.col("text").alias("text_"))
+    return d.mapInArrow(scan_macros(names), StructType([*d.schema.fields[:-1], *StructType.fromDDL(MACRO_FIELDS).fields]))
 
 
 def terms(docs: DataFrame, *keep: str) -> DataFrame:

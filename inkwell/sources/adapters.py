@@ -77,18 +77,26 @@ def daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One marked-up text per order, made of its lines: outcomes, terms, problems with solutions, references and notes."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
-    n, k = F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")
-    element = (
-        F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("\\begin{problem}[P"), k, F.lit("][L-"), n, F.lit("]\nFind "), k, F.lit("?\n\\end{problem}\n\\begin{solution}\nIt is "), n, F.lit(".\n\\end{solution}\n")))
-        .when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("\\los{L-"), n, F.lit("}{Explain}{the \\textbf{part} "), k, F.lit("} % note\n")))
-        .when(F.col("l_linenumber") % 4 == 2, F.concat(F.lit("\\term[L-"), n, F.lit("]{Part "), k, F.lit("}{A part with flag {"), F.col("l_returnflag"), F.lit("}} see \\ref{p:"), k, F.lit("}\n")))
-        .otherwise(F.concat(F.lit("% \\label{dead}\n\\label{p:"), k, F.lit("}\\patternmargin{Key pattern from "), k, F.lit("}\n")))
-    )
-    rows = items.withColumn("e", F.struct("l_linenumber", element.alias("t")))
-    whole = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    return whole.select(F.col("l_orderkey").alias("doc"), F.array_join(F.transform("es", lambda e: e["t"]), "").alias("text"))
+    """One marked-up text per order, made of its lines: outcomes, terms, problems with solutions, references and notes.
+
+    Lines are brought together as they are; the texts, several times as large, are made behind the shuffle.
+    """
+    items = table(spark, sf_dir, "lineitem")
+
+    def element(line: Column) -> Column:
+        number = line["l_linenumber"]
+        n, k = number.cast("string"), line["l_partkey"].cast("string")
+        return (
+            F.when(number % 4 == 0, F.concat(F.lit("\\begin{problem}[P"), k, F.lit("][L-"), n, F.lit("]\nFind "), k, F.lit("?\n\\end{problem}\n\\begin{solution}\nIt is "), n, F.lit(".\n\\end{solution}\n")))
+            .when(number % 4 == 1, F.concat(F.lit("\\los{L-"), n, F.lit("}{Explain}{the \\textbf{part} "), k, F.lit("} % note\n")))
+            .when(number % 4 == 2, F.concat(F.lit("\\term[L-"), n, F.lit("]{Part "), k, F.lit("}{A part with flag {"), line["l_returnflag"], F.lit("}} see \\ref{p:"), k, F.lit("}\n")))
+            .otherwise(F.concat(F.lit("% \\label{dead}\n\\label{p:"), k, F.lit("}\\patternmargin{Key pattern from "), k, F.lit("}\n")))
+        )
+
+    whole = items.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag")).alias("lines"))
+    # lines of one number stand in the order of their texts
+    elements = F.sort_array(F.transform("lines", lambda line: F.struct(line["l_linenumber"].alias("n"), element(line).alias("t"))))
+    return whole.select(F.col("l_orderkey").alias("doc"), F.array_join(F.transform(elements, lambda e: e["t"]), "").alias("text"))
 
 
 def by_day(metrics: DataFrame) -> Window:

@@ -3,13 +3,15 @@
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
 from inkwell.functions.markup import balanced, macros, open_depths
 from inkwell.operators import elements, identity, integrity, rewriting, rules, scoring
 from inkwell.plans import reports
-from inkwell.sources import files
+from inkwell.sources import adapters, files
 from inkwell.streaming import freshness
 
 
@@ -79,6 +81,52 @@ def test_scanner():
     assert len(open_depths(nested, ("enumerate", "itemize"))) == 2
 
 
+def macros_by_character(text, names):
+    """What macros() gives, read one character at a time."""
+
+    def close(at):
+        opening, closing, depth, i = text[at], "}" if text[at] == "{" else "]", 0, at
+        while i < len(text):
+            if text[i] == "\\":
+                i += 1
+            elif text[i] in (opening, closing):
+                depth += 1 if text[i] == opening else -1
+                if not depth:
+                    return i + 1
+            i += 1
+        return None
+
+    at, found = text.find("\\"), []
+    while at >= 0:
+        end = at + 1
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        i, options, args = end, [], []
+        while text[at + 1 : end] in names and text[i : i + 1] in ("[", "{") and (to := close(i)):
+            (options if text[i] == "[" else args).append(text[i + 1 : to - 1])
+            i = to
+        if args:
+            found.append((text[at + 1 : end], options, args, at, i))
+        at = text.find("\\", end if end > at + 1 else at + 2)
+    return found
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["\\", "\\\\", "{", "}", "[", "]", r"\term", r"\termx", r"\te", r"\term{", "a", "\n", "²", "é", "_", "1", r"\{", r"\}", "]{", "}{"]), max_size=18).map("".join))
+def test_scanner_equals_reading_by_character(text):
+    assert list(macros(text, ("term", "te"))) == macros_by_character(text, ("term", "te"))
+
+
+def test_macros_are_scanned_in_batches_and_texts_made_behind_the_shuffle(spark):
+    d = spark.createDataFrame([(1, r"\term[L]{a}{b {c}} \\term{no}{x}"), (2, None), (3, ""), (4, r"\term{x}{y}\term{z}{\term{i}{j}}")], "doc long, text string")
+    found = elements.macro_rows(d, ("term",), "doc").collect()
+    assert sorted((r.doc, r.ord, r.options, r.args, r.off) for r in found if r.doc != 4) == [(1, 0, ["L"], ["a", "b {c}"], 0)]
+    assert sorted((r.ord, r.args[0]) for r in found if r.doc == 4) == [(0, "x"), (1, "z"), (2, "i")]
+    plan = elements.terms(adapters.markup(spark, "/root/testdata/sf0.001"), "doc")._jdf.queryExecution().executedPlan().toString()
+    assert "PythonUDTF" not in plan and "MapInArrow" in plan
+    assert "CASE WHEN" not in plan[plan.index("Exchange") :]  # from the top of the plan down: no text is shuffled
+
+
 BACKS = [
     ("term", "What?", "", {"C1"}), ("cloze", "What?", "", set()), ("cloze", "x", None, set()), ("term", "f", None, {"C1"}),
     ("term", "f", "...   ;;;", {"C2", "H1"}), ("checkpoint", "f", "```python\n# TODO\nx\n```", {"C3", "M1", "H1"}),
