@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from inkwell import queries_structure
 from inkwell.functions import fixed, scanning, snippets
 from inkwell.operators import currency, integrity, rewriting, rules, structure
 from inkwell.sources import views
@@ -49,6 +50,15 @@ def test_prompts_without_answer_keys(spark):
     assert sorted((r.half, r.los_id) for r in found) == [(0, "AB-1.1"), (1, "NEW-1.1")]
 
 
+@pytest.mark.parametrize("name", ["checkpoint_items", "checkpoint_prompts"])
+def test_boxes_are_dealt_out_once_before_their_texts_are_made(spark, name):
+    """So a task holds the pieces of about views.TASK_ROWS texts, whatever the size of the table."""
+    d = queries_structure.QUERIES[name](spark, "/root/testdata/sf0.01")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    deals = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(deals) == 2 and all("REPARTITION_BY_NUM" in line for line in deals)  # one for each branch of the union
+
+
 CASE = r"\begin{vignette}[T][AB-1.1, AB-2]Body.\textbf{Question 2:} why?\end{vignette}"
 CASES = [
     (CASE + r" gap \begin{solution} S \end{solution}", True),
