@@ -282,3 +282,26 @@ def test_jaccard_lists_part_sizes_that_cannot_link(spark):
     common_ = jaccard_join.Order(np.array([9], np.uint64), np.array([jaccard_join.SPLIT]))
     whole = jaccard_join.shared(packed, common_, 2).collect()
     assert {(r["token"], r["hub"]) for r in whole} == {(9, 0)} and len(whole) == 6
+
+
+def test_signs_bound_the_intersection():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 1), (1, 2, 0), (7, 9, 6), (40, 33, 31), (600, 500, 480), (600, 500, 0), (1025, 1024, 1000), (3000, 2300, 2250)):
+        u = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        x, y = np.sort(u[:n]), np.sort(np.concatenate([u[:both], u[n : n + m - both]]))
+        most = jaccard_join.most_shared(jaccard_join.sign(x), jaccard_join.sign(y), n, m)
+        assert both <= most == jaccard_join.most_shared(jaccard_join.sign(y), jaccard_join.sign(x), m, n)
+        if n > 500 and not both:
+            assert most * 100 < (n + m - most) * 75
+
+
+def test_chance_meetings_cost_no_sets(spark, monkeypatch):
+    """Texts that share one shingle, all of it in their prefixes, are told apart without their sets."""
+    asked = []
+    sets_of = jaccard_join.sets_of
+    monkeypatch.setattr(jaccard_join, "sets_of", lambda docs, wanted: asked.append(wanted.count()) or sets_of(docs, wanted))
+    rows = [(k, " ".join([*(f"w{k}x{j}" for j in range(60)), *(f"s{k // 5}y{j}" for j in range(5)), *(f"t{k % 5}z{j}" for j in range(5))])) for k in range(25)]
+    rows += [(100, rows[0][1] + " more"), (101, rows[7][1] + " end")]
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: k for k in range(25)} | {100: 0, 101: 7}
+    assert max(asked) <= 4
