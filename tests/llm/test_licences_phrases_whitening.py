@@ -242,3 +242,17 @@ def test_collocations_broadcast_nothing_that_grows(spark):
     assert plans[0].count("BroadcastHashJoin") == 0 and plans[1].count("BroadcastHashJoin") <= 1  # the totals of the languages
     assert [tuple(r) for r in spelt.collect()] == [("en", "a b", 40)]
     assert [(r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in rows.collect()] == [("a b", 40, 50, 60, 110, 727272)]
+
+
+def test_pairs_come_to_their_shards_as_rows(spark):
+    """No list of a shard's pairs is gathered; a shard without any has no longer phrases."""
+    docs = spark.createDataFrame([("en", "a b c d. " * 3 + "x y"), ("fr", "only pairs. only pairs. only pairs")], "lang string, text string")
+    table = collocations.shards(docs.coalesce(1)).localCheckpoint()
+    rest = collocations.pruned(table, collocations.local_words(table, 3)).localCheckpoint()
+    pairs = collocations.local_pairs(collocations.counted(rest), 3).localCheckpoint()
+    longer = collocations.counted_longer(rest, pairs, 4)
+    plan = longer._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "CoGroup" in plan
+    assert sorted((r["w4"] >= 0, r["f"]) for r in longer.collect()) == [(False, 3), (False, 3), (True, 3)]
+    alone = collocations.counted_longer(rest, pairs.limit(0), 4)
+    assert alone.collect() == [] and alone.columns == ["w1", "w2", "w3", "w4", "shard", "f"]
